@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
-from .runtime import read
+from .runtime import new_path, read
 from .token_counts import token_counts
+from .token_shards import read_documents, write_shards
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-shards")
+    write_shards(read(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_best_fit_packing, op8_token_counts)}
+    return {f.__name__: f for f in (op7_best_fit_packing, op8_token_counts, op9_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
