@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import fingerprint_neighbours
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -42,6 +43,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_near_duplicates, op7_best_fit_packing, op8_token_counts, op9_token_shards)}
+    return {f.__name__: f for f in (op3_line_dedup, op5_near_duplicates, op6_fingerprints, op7_best_fit_packing, op8_token_counts, op9_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
