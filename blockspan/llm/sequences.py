@@ -32,20 +32,41 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def words(text: str | None) -> np.ndarray:
-    """A 32-bit number for each word: letters and digits, in lower case, of any script.
-
-    Bytes of 128 and above count as letters. Equal words get equal numbers.
-    """
-    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint32)
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = _WORD[data]
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
     begin, end = edge[::2], edge[1::2]
     up, down = _Powers.upto(len(data) + 1)
     sums = np.r_[U(0), np.cumsum((data.astype(U) + U(1)) * down[:-1], dtype=U)]
-    return (mix((sums[end] - sums[begin]) * up[begin], 1) >> U(32)).astype(np.uint32)
+    return (mix((sums[end] - sums[begin]) * up[begin], 1) >> U(32)).astype(np.uint32), begin, end
+
+
+def words(text: str | None) -> np.ndarray:
+    """A 32-bit number for each word: letters and digits, in lower case, of any script.
+
+    Bytes of 128 and above count as letters. Equal words get equal numbers.
+    """
+    return _hashed(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8))[0]
+
+
+class Words:
+    """The words of a text with their places in it."""
+
+    def __init__(self, text: str | None):
+        text = text or ""
+        lower = text.lower()
+        if len(lower) != len(text):  # a few letters grow when lowered
+            lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        self._data = np.frombuffer(lower.encode("utf-8", "surrogatepass"), np.uint8)
+        self.ids, self._begin, self._end = _hashed(self._data)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """Characters from the first word to the last, the end exclusive."""
+        chars = lambda b: int(np.count_nonzero((self._data[:b] & 0xC0) != 0x80))
+        return chars(self._begin[first]), chars(self._end[last])
 
 
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
