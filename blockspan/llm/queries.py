@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import benchmark_hits
 from .fingerprints import fingerprint_neighbours
 from .license_scan import license_scan
 from .line_dedup import line_dedup
@@ -65,6 +66,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -92,7 +97,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_line_dedup, op5_near_duplicates, op6_fingerprints, op7_best_fit_packing, op8_token_counts, op9_token_shards, op10_license_scan)}
+    return {f.__name__: f for f in (op2_url_filters, op3_line_dedup, op4_benchmark_decontamination, op5_near_duplicates, op6_fingerprints, op7_best_fit_packing, op8_token_counts, op9_token_shards, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
