@@ -13,12 +13,19 @@ from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import held_out, quality_model, score
 from .runtime import new_path, read
 from .token_counts import token_counts
 from .token_shards import read_documents, write_shards
 from .url_filters import filter_urls
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
@@ -97,7 +104,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_line_dedup, op4_benchmark_decontamination, op5_near_duplicates, op6_fingerprints, op7_best_fit_packing, op8_token_counts, op9_token_shards, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_url_filters, op3_line_dedup, op4_benchmark_decontamination, op5_near_duplicates, op6_fingerprints, op7_best_fit_packing, op8_token_counts, op9_token_shards, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
