@@ -5,7 +5,8 @@ into e + 1 pieces: e edits leave one of them as it was. All pieces of all passag
 one keyword automaton; where a document has one, the passage may begin as far before it as
 the piece stands in it, give or take e. Such windows are verified with Myers' bit-parallel
 edit distance, which also tells where the occurrence ends, and run backwards, where it
-begins.
+begins. Before the whole passage its part around the piece is verified: of neighbouring
+pieces in groups, some group of p pieces has fewer than p edits, by the same argument.
 
 Test items go to the tasks in blocks of bounded size; documents are never shuffled.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SOLID = re.compile(r"\S+")
+#: Pieces a group: four of them are some 40 characters, which fit a small integer.
+GROUP = 4
 #: The last matcher a worker made, by the name of its block.
 _MATCHER: dict[str, "Matcher"] = {}
 
@@ -83,6 +86,7 @@ class Matcher:
 
         self.passages: list[tuple[object, int, str, int]] = []  # item, part, text, errors
         self.whole: dict[str, list[int]] = {}
+        self.groups: list[tuple[int, int, int, int, dict[str, int]]] = []  # passage, begin, end, errors, masks
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             text = normal(text)
@@ -95,8 +99,11 @@ class Matcher:
                     self.whole.setdefault(t, []).append(i)
                     continue
                 cuts = [len(t) * k // (errors + 1) for k in range(errors + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    pieces.setdefault(t[a:b], []).append((i, a))
+                for first in range(0, errors + 1, GROUP):
+                    own = cuts[first : first + GROUP + 1]
+                    for a, b in zip(own, own[1:], strict=False):
+                        pieces.setdefault(t[a:b], []).append((len(self.groups), a))
+                    self.groups.append((i, own[0], own[-1], len(own) - 2, _masks(t[own[0] : own[-1]])))
         self.masks = [_masks(p[2]) for p in self.passages]
         self.back = [_masks(p[2][::-1]) for p in self.passages]
         self.automaton = ahocorasick.Automaton()
@@ -107,10 +114,16 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Passage, distance, begin and end in a normal text; the best of each passage."""
         found = [(i, 0, 0, len(text)) for i in self.whole.get(text, ())]
-        starts: dict[int, set[int]] = {}
+        hits = set()
         for end, (size, places) in self.automaton.iter(text) if len(self.automaton) else ():
-            for i, offset in places:
-                starts.setdefault(i, set()).add(end + 1 - size - offset)
+            for g, offset in places:
+                hits.add((g, end + 1 - size - offset))
+        starts: dict[int, set[int]] = {}
+        for g, s in hits:
+            i, a, b, errors, masks = self.groups[g]
+            if s not in starts.get(i, ()):
+                if edit_search(masks, b - a, text[max(0, s + a - errors) : s + b + errors])[0] <= errors:
+                    starts.setdefault(i, set()).add(s)
         for i, own in starts.items():
             _, _, t, errors = self.passages[i]
             windows: list[list[int]] = []
