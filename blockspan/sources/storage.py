@@ -8,6 +8,7 @@ filters serve the values that sorting can't cluster.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ TABLE_NAMES = {"block": "block", "transaction": "tx", "log": "log"}
 @dataclass(frozen=True)
 class WriteOptions:
     folder_blocks: int = 100_000
+    bucket_blocks: int = 1_000
     row_group_bytes: int = 16 << 20
     bloom_false_positives: float = 0.001
     compression: str = "lz4_raw"
@@ -86,44 +88,39 @@ class Archive:
 
     # -- hot tail --------------------------------------------------------------------
 
-    def upsert_hot(self, entity: str, rows: DataFrame, bucket_blocks: int = 1_000) -> None:
-        """Rows replace those of the same key; only the buckets concerned are rewritten."""
-        path = f"{self.root}/hot/{TABLE_NAMES[entity]}"
-        rows = rows.select(*TABLES[entity].names).withColumn("bucket", F.floor(F.col(NUMBER[entity]) / bucket_blocks).cast("long"))
-        buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        if not buckets:
-            return
-        new = rows.withColumn("seq", F.lit(1))
-        if self._children(path):
-            old = self.spark.read.schema(f"{_ddl(entity)}, bucket long").parquet(path).where(F.col("bucket").isin(buckets))
-            new = new.unionByName(old.withColumn("seq", F.lit(0)))
-        merged = last_wins(new, KEYS[entity], "seq").drop("seq")
-        # What is overwritten is also read: the rows are made before the write begins.
-        merged = _materialised(merged)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    def hot(self, entity: str) -> DataFrame:
+    def upsert_hot(self, entity: str, rows: DataFrame) -> None:
+        """Rows replace those of the same key. They are appended with a running number, and
+        reading takes the newest of a key, so nothing that is being read is overwritten
+        and a batch written twice counts once."""
+        bucket = F.floor(F.col(NUMBER[entity]) / self.options.bucket_blocks).cast("long")
+        rows = rows.select(*TABLES[entity].names, F.lit(time.time_ns()).alias("seq"), bucket.alias("bucket"))
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/hot/{TABLE_NAMES[entity]}")
+
+    def hot(self, entity: str, first: int = 0) -> DataFrame:
+        """Rows of the blocks from ``first`` on; buckets below aren't touched."""
         path = f"{self.root}/hot/{TABLE_NAMES[entity]}"
-        if not self._children(path):
+        if not any(n.startswith("bucket=") for n in self._children(path)):
             return self.spark.createDataFrame([], TABLES[entity])
-        return self.spark.read.schema(f"{_ddl(entity)}, bucket long").parquet(path).drop("bucket")
+        rows = self.spark.read.schema(f"{_ddl(entity)}, seq long, bucket long").parquet(path)
+        rows = rows.where((F.col("bucket") >= first // self.options.bucket_blocks) & (F.col(NUMBER[entity]) >= first)).drop("bucket")
+        return last_wins(rows, KEYS[entity], "seq").drop("seq")
 
-    def evict_hot(self, bucket_blocks: int = 1_000) -> None:
+    def evict_hot(self) -> None:
         """Drop hot buckets that the cold folders cover as a whole."""
         height = self.cold_height()
         for kind in TABLE_NAMES.values():
             for name in self._children(f"{self.root}/hot/{kind}"):
-                if name.startswith("bucket=") and (int(name[7:]) + 1) * bucket_blocks <= height:
+                if name.startswith("bucket=") and (int(name[7:]) + 1) * self.options.bucket_blocks <= height:
                     fs, p = self._fs(f"{self.root}/hot/{kind}/{name}")
                     fs.delete(p, True)
 
     # -- both ------------------------------------------------------------------------
 
     def heights(self) -> dict[str, int | None]:
-        return heights(self.manifest(), self.hot("block")).first().asDict()
+        return heights(self.manifest(), self.hot("block", self.cold_height())).first().asDict()
 
     def cold_height(self) -> int:
-        return self.heights()["parquet_height"]
+        return self.manifest().where("not is_temp").agg(F.coalesce(F.max("to"), F.lit(0))).first()[0]
 
     def height(self) -> int:
         return self.heights()["height"]
@@ -131,26 +128,15 @@ class Archive:
     def tables(self, first: int = 0, end: int | None = None) -> Tables:
         """The three tables over both tiers, parted at the height of the cold one."""
         at = self.cold_height()
-        frames = [hot_and_cold(self.cold(e, first, end), self.hot(e), NUMBER[e], at) for e in ("block", "transaction", "log")]
+        frames = [hot_and_cold(self.cold(e, first, end), self.hot(e, at), NUMBER[e], at) for e in ("block", "transaction", "log")]
         return Tables(*frames)
 
     def finalise(self, first: int, end: int) -> None:
         """Move the hot blocks of [first, end) into a cold folder."""
-        self.write_folder(first, end, self.hot("block"), self.hot("transaction"), self.hot("log"))
+        self.write_folder(first, end, *(self.hot(e, first) for e in ("block", "transaction", "log")))
         self.evict_hot()
 
 
 def _ddl(entity: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES[entity])
 
-
-def _materialised(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, so that a lost executor can't lose it."""
-    import tempfile
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
