@@ -60,9 +60,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four events a block, two to a transaction; topics 2 and 3 are missing for some."""
+    return logs_of(load(spark, sf_dir, "events"))
+
+
+def logs_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     e = F.col("event_id")
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         _address(F.col("user_id")).alias("address"),
         F.floor(e / 4).cast("long").alias("block_number"),
         (e % 4).alias("log_index"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,10 @@ from .operators.predicates import LogSelection, TransactionSelection, any_log, a
 from .plans.compile import matched, projected, response_rows
 from .plans.paging import page_by_size
 from .plans.query import Query, make_query
-from .schema import TOPICS
+from .schema import LOGS as LOG_SCHEMA
+from .schema import TOPICS, TRANSACTIONS
+from .sources import legacy
+from .sources.storage import Archive, WriteOptions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -396,3 +401,57 @@ SELECT second, endpoint, n FROM r UNION ALL SELECT second, NULL, CAST(sum(n) AS
 def request_rate_window(spark, d):
     requests = t.load(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"))
     return endpoints.request_rates(requests).withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+def _new_archive(spark: SparkSession) -> Archive:
+    """An empty archive in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="archives-")
+    return Archive(spark, f"{base}/archive-{uuid.uuid4().hex}", WriteOptions(folder_blocks=5_000))
+
+
+def _full_logs(logs: DataFrame) -> DataFrame:
+    """Logs with every column of the archive; what the test tables lack is made of the key."""
+    name = F.concat_ws("/", "block_number", "transaction_index")
+    logs = logs.withColumn("block_hash", F.unhex(F.sha2(F.col("block_number").cast("string"), 256))).withColumn("transaction_hash", F.unhex(F.sha2(name, 256)))
+    return logs.withColumn("removed", F.lit(False)).select(*LOG_SCHEMA.names)
+
+
+@query(f"SELECT {LOG_LIST} FROM logs WHERE address IN ({A(3, 7, 11)}) AND block_number >= 300 AND block_number < 2200")
+def parquet_archive_roundtrip(spark, d):
+    """Logs written as two sorted folders with blooms, and read back by range and address."""
+    archive, logs = _new_archive(spark), _full_logs(t.logs(spark, d))
+    none = spark.createDataFrame([], TRANSACTIONS)
+    blocks = spark.createDataFrame([], "number long")
+    for first, end in ((0, 1_000), (1_000, 1 << 31)):
+        archive.write_folder(first, end, blocks, none, logs)
+    found = archive.cold("log", 300, 2_200).where(block_range("block_number", 300, 2_200))
+    return shown(found.where(log_matches(LogSelection(ADDRESSES))), *LOG_COLUMNS)
+
+
+@query(f"SELECT {LOG_LIST} FROM logs")
+def stream_ingest_replay(spark, d):
+    """Events as a stream into the hot tail, and what is there when it has ended."""
+    archive = _new_archive(spark)
+    source = spark.read.parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+
+    def batch(rows: DataFrame, _: int) -> None:
+        archive.upsert_hot("log", _full_logs(t.logs_of(rows)))
+
+    stream = events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{archive.root}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return shown(archive.hot("log"), *LOG_COLUMNS)
+
+
+_MIN_HEX = "CASE WHEN length(to_hex({0})) % 2 = 1 THEN '0x0' ELSE '0x' END || lower(to_hex({0}))"
+
+
+@query(f"""SELECT block_number, transaction_index, {_MIN_HEX.format("gas")} AS gas, CAST(gas + 27 AS VARCHAR) AS v, CAST(NULL AS BIGINT) AS status, sighash FROM transactions""")
+def legacy_int64_transactions(spark, d):
+    """Transactions of the older format, whose numbers are signed 64-bit, as today's."""
+    tx, quantity = t.transactions(spark, d), F.conv(F.hex("gas"), 16, 10).cast("long")
+    old = tx.withColumns({"gas": quantity, "gas_price": quantity, "v": quantity + 27, "kind": F.lit(0).cast("long")})
+    have = set(old.columns)
+    schema = legacy.source_schema("transaction", "0.0.39")
+    old = old.select(*(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    return shown(legacy.adapt(old, "transaction", "0.0.39"), "block_number", "transaction_index", "gas", "v", "status", "sighash")

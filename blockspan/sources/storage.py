@@ -32,7 +32,8 @@ class WriteOptions:
     bucket_blocks: int = 1_000
     row_group_bytes: int = 16 << 20
     bloom_false_positives: float = 0.001
-    compression: str = "lz4_raw"
+    #: lz4_raw pages of some sizes can not be read back by this Spark version.
+    compression: str = "zstd"
 
 
 class Archive:
