@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import keep, n_tasks
 
@@ -242,14 +243,14 @@ def line_dedup(
     shards = common.withColumn("shard", in_shard.cast("long")).groupBy("shard").applyInPandas(_build, "shard long, n_rows long, data binary")
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     base = df.select(*kept).withColumn(text_col, F.col(text_col).cast("string"))
-    names = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long", "n_dropped long"])
+    names = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if n_keys * KEY_BYTES <= broadcast_bytes:
         arrays = {r["shard"]: bytes(r["data"]) for r in shards.select("shard", "data").collect()}
         sent = spark.sparkContext.broadcast((n_shards, arrays))
         return base.mapInArrow(lambda it: _probe_broadcast(it, sent, id_col, text_col, min_chars, min_docs), names)
     shards = keep(shards)
     # A shard with more than its share of lines gets salts; at most 1000 shards can have that many.
-    per_salt = max(rows_per_salt, shards.agg(F.sum("n_rows")).first()[0] // 1000)
+    per_salt = max(rows_per_salt, (shards.agg(F.sum("n_rows")).first()[0] or 0) // 1000)
     hot = {r["shard"]: 1 + r["n_rows"] // per_salt for r in shards.where(F.col("n_rows") > per_salt).collect()}
     salts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else None
     n_salts = F.coalesce(salts[F.col("shard")], F.lit(1)).cast("long") if hot else F.lit(1).cast("long")

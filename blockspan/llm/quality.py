@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import keep
 
@@ -227,7 +228,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in ("score", "predicted")]
     base = df.select(*kept)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double", "predicted int"])
+    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

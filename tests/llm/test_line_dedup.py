@@ -60,6 +60,10 @@ def test_both_ways_are_brute_force(docs, bound, monkeypatch):
 
 
 @pytest.mark.parametrize("bound", [1 << 20, -1])
-def test_empty(docs, bound):
-    assert line_dedup(docs([]), broadcast_bytes=bound).count() == 0 if bound > 0 else True
-    assert line_dedup(docs([(1, "a"), (2, None)])).count() == 2
+def test_empty_and_other_columns(spark, docs, bound):
+    assert line_dedup(docs([]), broadcast_bytes=bound).count() == 0
+    assert line_dedup(docs([(1, "a"), (2, None)]), broadcast_bytes=bound).count() == 2
+    df = spark.createDataFrame([(1, "a", [{"b": 1}], 5, None), (1, None, None, 6, 2.5)], "doc_id int, text string, `odd name` array<map<string,int>>, n_lines int, id double")
+    got = line_dedup(df, broadcast_bytes=bound)
+    assert got.columns == ["doc_id", "text", "odd name", "id", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "", None, 2.5, 1, 0), (1, "a", [{"b": 1}], None, 1, 0)]
