@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.codec import int_to_bytes, int_to_u64, sighash
+from ..operators.manifest import complete_folders, folder_name, gaps, parse_folders
 from ..schema import BLOCKS, LOGS, TABLES, TRANSACTIONS
 
 #: Columns of format 0.0.39 that are int64 there.
@@ -47,20 +48,35 @@ def adapt(df: DataFrame, entity: str, version: str) -> DataFrame:
     return df.select(*columns)
 
 
+def folders(spark: SparkSession, root: str, start: int = 0) -> DataFrame:
+    """``from, to, is_temp`` of the folders under a root that have all their files and end
+    behind ``start``. The listing is Hadoop's, so any of its file systems will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/blk*/*.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    rows = [(f.getPath().getParent().getName(), f.getPath().getName().removesuffix(".parquet")) for f in found]
+    files = parse_folders(spark.createDataFrame(rows, "name string, file string"))
+    return complete_folders(files, start).withColumn("is_temp", F.lit(False))
+
+
 def read_folders(spark: SparkSession, root: str, entity: str, version: str, start: int = 0) -> DataFrame:
-    """All complete, contiguous folders of an older archive from the one at ``start`` on.
+    """Rows from block ``start`` on of the complete folders of an older archive.
 
-    A folder's range stands in its path; unfinished (temp) ones don't match the pattern.
+    A range that is missing between two folders is an error, as rows would be lost.
     """
-    path = f"{root.rstrip('/')}/blk*[0-9]/{FILES[entity]}*.parquet"
-    rows = spark.read.schema(source_schema(entity, version)).parquet(path)
+    found = folders(spark, root, start)
+    if missing := gaps(found).orderBy("from").first():
+        raise ValueError(f"blocks {missing['from']} to {missing['to'] - 1} are missing")
+    names = [r[0] for r in found.select(folder_name(F.col("from"), F.col("to"))).collect()]
+    schema = source_schema(entity, version)
+    paths = [f"{root.rstrip('/')}/{n}/{FILES[entity]}.parquet" for n in names]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     number = "number" if entity == "block" else "block_number"
     return adapt(rows.where(F.col(number) >= start), entity, version)
 
 
 def stream_folders(spark: SparkSession, root: str, entity: str, version: str, files_per_trigger: int = 8) -> DataFrame:
     """The same as a stream that takes in new folders as they appear."""
-    path = f"{root.rstrip('/')}/blk*[0-9]/{FILES[entity]}*.parquet"
+    path = f"{root.rstrip('/')}/blk*[0-9]/{FILES[entity]}.parquet"
     rows = spark.readStream.schema(source_schema(entity, version)).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return adapt(rows, entity, version)
 

@@ -18,7 +18,9 @@ from ..operators.manifest import resume_block
 from ..operators.relations import with_status
 from ..plans.compile import Tables
 from ..schema import BLOCKS, LOGS, TOPICS, TRANSACTIONS, camel
+from ..sources import legacy
 from ..sources.storage import Archive
+from .metrics import Metrics
 
 #: How wide values of fixed width are, and names that nodes use.
 WIDTH = {
@@ -113,7 +115,20 @@ def start_block(archive: Archive, tip: int | None = None, initial_hot_blocks: in
     return max(held, tip - initial_hot_blocks) if tip is not None and initial_hot_blocks is not None else held
 
 
-def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: str, finalise: bool = True, **trigger) -> StreamingQuery:
+def import_older(spark: SparkSession, archive: Archive, root: str, version: str) -> int:
+    """Bring an older archive in as cold folders, from where this one ends; the block to go
+    on from. Ranges are those of the archive's own folders, the last one perhaps shorter."""
+    first = start_block(archive)
+    older = {e: legacy.read_folders(spark, root, e, version, first) for e in ("block", "transaction", "log")}
+    end = legacy.folders(spark, root, first).agg(F.coalesce(F.max("to"), F.lit(first))).first()[0]
+    while first < end:
+        upto = min(end, first + archive.options.folder_blocks)
+        archive.write_folder(first, upto, older["block"], older["transaction"], older["log"])
+        first = upto
+    return first
+
+
+def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: str, finalise: bool = True, metrics: Metrics | None = None, **trigger) -> StreamingQuery:
     """Start the stream. ``trigger`` as in ``writeStream.trigger``, one pass by default."""
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -124,5 +139,8 @@ def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: st
             rows.unpersist()
         if finalise:
             finalise_ready(archive)
+        if metrics and (height := archive.height()):
+            metrics.set("download_height", height - 1)
+            metrics.set("write_height", height - 1)
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

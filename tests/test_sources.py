@@ -12,7 +12,8 @@ from blockspan.schema import BLOCKS, LOGS, TRANSACTIONS
 from blockspan.server import Forwarder, Service, archive_routes, forwarder_routes, serve
 from blockspan.sources import legacy, rpc
 from blockspan.sources.storage import Archive, WriteOptions
-from blockspan.streaming.ingest import decode, finalise_ready, flush, ingest, start_block, write_hot
+from blockspan.operators.manifest import FILES
+from blockspan.streaming.ingest import decode, finalise_ready, flush, import_older, ingest, start_block, write_hot
 from blockspan.streaming.metrics import IngestListener, Metrics
 
 from . import node as fake
@@ -86,7 +87,7 @@ def test_ingest_to_hot_and_cold(spark, tmp_path):
     archive = Archive(spark, f"file://{tmp_path}/archive", WriteOptions(folder_blocks=6))
     assert archive.height() == 0 and start_block(archive) == 0 and start_block(archive, 100, 30) == 70
     raw = spark.readStream.format("blockrpc").option("startingBlock", 0).option("blocksPerBatch", 14).load()
-    q = ingest(spark, raw, archive, f"{tmp_path}/checkpoint", processingTime="0 seconds")
+    q = ingest(spark, raw, archive, f"{tmp_path}/checkpoint", metrics=(metrics := Metrics()), processingTime="0 seconds")
     try:
         q.processAllAvailable()
         assert q.exception() is None
@@ -94,6 +95,7 @@ def test_ingest_to_hot_and_cold(spark, tmp_path):
         q.stop()
     height = fake.TIP - 3
     h = archive.heights()
+    assert f"write_height {height - 1}" in metrics.encode()
     assert h["height"] == height and h["parquet_height"] == 18
     t = archive.tables()
     numbers = sorted(r.number for r in t.blocks.select("number").collect())
@@ -152,10 +154,23 @@ def test_older_formats(spark, tmp_path, version):
     for entity, schema, n in (("block", BLOCKS, 12), ("transaction", TRANSACTIONS, x.count()), ("log", LOGS, t.logs.count())):
         got = legacy.read_folders(spark, str(tmp_path), entity, version)
         assert {f.name: f.dataType for f in got.schema} == {f.name: f.dataType for f in schema} and len(got.collect()) == n
+    archive = Archive(spark, f"file://{tmp_path}/new", WriteOptions(folder_blocks=5))
+    assert import_older(spark, archive, str(tmp_path), version) == 12 == archive.height() and archive.manifest().count() == 3
+    assert archive.tables().logs.count() == t.logs.count() and import_older(spark, archive, str(tmp_path), version) == 12
+    t.blocks.write.parquet(f"{tmp_path}/blk000000012-000000013/block.parquet")  # not whole
+    assert legacy.read_folders(spark, str(tmp_path), "block", version).count() == 12
+    stream = legacy.stream_folders(spark, str(tmp_path), "log", version)
+    q = stream.writeStream.format("memory").queryName(f"older{version[-1]}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table(f"older{version[-1]}").count() == t.logs.count()
     got = legacy.read_folders(spark, str(tmp_path), "transaction", version, start=6).collect()
     assert min(r.block_number for r in got) == 6 and any(r.sighash for r in got)
     if version == "0.0.39":
         assert {bytes(r.gas) for r in got} == {b"\x01\x2c"} and {r.v for r in got} == {Decimal(300)} and {r.status for r in got} == {None}
+    for name in FILES:
+        t.logs.write.parquet(f"{tmp_path}/blk000000020-000000030/{name}.parquet")
+    with pytest.raises(ValueError, match="blocks 12 to 19 are missing"):
+        legacy.read_folders(spark, str(tmp_path), "log", version)
     with pytest.raises(ValueError, match="unknown format"):
         legacy.source_schema("block", "9")
 
