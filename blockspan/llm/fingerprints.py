@@ -116,16 +116,12 @@ def _in_ranges(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFr
 
     largest = dict(ids.withColumn("bucket", bucket("id")).groupBy("bucket").agg(F.max("id")).collect())
     order = sorted(largest)
-    after: dict[int, list[int]] = {}
-    for i, b in enumerate(order):  # before the lowest range comes the highest
-        after.setdefault(largest[order[i - 1]], []).append(b)
+    # Before the lowest range comes the highest. A pair for each range at most.
+    after = [(largest[order[i - 1]], b) for i, b in enumerate(order)]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     own = docs.withColumn("bucket", bucket("id")).withColumn("ghost", F.lit(False))
-    if not after:
-        return own
-    to = F.create_map(*[x for i, bs in after.items() for x in (F.lit(i), F.array(*map(F.lit, bs)))])
-    ghosts = docs.where(F.col("id").isin(list(after))).withColumn("bucket", F.explode(to[F.col("id")])).withColumn("ghost", F.lit(True))
-    return own.unionByName(ghosts)
+    ends = df.sparkSession.createDataFrame(after, "id long, bucket int")
+    return own.unionByName(docs.join(F.broadcast(ends), "id").withColumn("ghost", F.lit(True)))
 
 
 def _pairs(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARKS = tuple(b'.,!?;:|#%$&*@/\\<>{}[]()_=+-"\'')
 _FUNCTION_WORD = 3  # bytes; the short words of running text
-BINS = 2_000
+BINS, PARTS = 2_000, 8
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -176,7 +176,9 @@ def fit(
     if n > max_rows:
         rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1e6 * max_rows / n))
     rows = rows.withColumn("fold", F.pmod(F.shiftright("h", 24), F.lit(4)).cast("int"))
-    rows = keep(rows.select("text", "label", "fold").mapInArrow(_described, "stats binary, label int, fold int"))
+    # At most about ``max_rows`` short rows, so a fixed number of partitions has them, and
+    # as many partition sums come together, whatever the corpus.
+    rows = keep(rows.select("text", "label", "fold").mapInArrow(_described, "stats binary, label int, fold int").repartition(PARTS))
 
     def moments(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         stats, label, _ = _matrix(batch)

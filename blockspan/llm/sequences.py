@@ -81,9 +81,10 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
+def common_subsequence(a: np.ndarray, b: np.ndarray, band: int, need: float = 0) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` of the
-    diagonal; bit-parallel, a band's width of bits a row."""
+    diagonal; bit-parallel, a band's width of bits a row. Where it can't be ``need``, any
+    smaller number."""
     n = min(len(a), len(b))
     if not n:
         return 0
@@ -98,17 +99,18 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
-    shared = np.intersect1d(a, b)
-    if not len(shared):
-        return head + tail
     # Elements that the other side lacks match nothing; their places still count for the band.
+    a_shared = np.isin(a, b)
+    if not a_shared.any() or head + tail + np.count_nonzero(a_shared) < need:
+        return head + tail
+    b_shared = np.isin(b, a)
     where: dict[int, int] = {}
-    for j in np.flatnonzero(np.isin(b, shared)).tolist():
+    for j in np.flatnonzero(b_shared).tolist():
         x = int(b[j])
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
     open_ = full
-    for i in np.flatnonzero(np.isin(a, shared)).tolist():
+    for i in np.flatnonzero(a_shared).tolist():
         low = max(0, i - band)
         # Only the bits of the band take part in a row; the others keep what they were.
         match = where[int(a[i])] >> low << low & (1 << min(len(b), i + band + 1)) - 1
@@ -128,5 +130,5 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     if not total or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
     band = int(total * (1 - least) / (1 + least)) + 1
-    m = common_subsequence(a, b, band)
+    m = common_subsequence(a, b, band, need=total * least / (1 + least) - 1e-6)
     return m / (total - m)

@@ -46,7 +46,7 @@ class Encoder:
 
     _open: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, max_memory: int = 600_000, max_word: int = 64):
+    def __init__(self, path: str, max_memory: int = 350_000, max_word: int = 64):
         from tokenizers import Tokenizer
 
         single_threaded_tokenizers()
@@ -122,7 +122,7 @@ class Encoder:
                 del self.memory[w]
         return out
 
-    def encode(self, texts: Iterable[str], at_once: int = 2_000_000) -> list[bytes]:
+    def encode(self, texts: Iterable[str], at_once: int = 1_000_000) -> list[bytes]:
         """Little-endian ids of each text, in ``dtype``."""
         texts = list(texts)
         out: list[bytes] = [b""] * len(texts)
