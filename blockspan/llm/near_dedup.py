@@ -3,12 +3,14 @@
 1. A text becomes its words (numbers), their shingles of ``k`` words, and for each of a
    family of hash functions a bucket key: the smallest occurrence-labelled shingles, in
    text order (``order_minhash``). Texts of the same words are one *node* from here on.
-2. In every bucket of two nodes or more, all are held against one of them, the leader:
-   their alignment similarity (``sequences``) must reach the threshold. Nodes that don't
-   reach their leader stay in the bucket and are held against each other: small buckets
-   within a task, larger ones in further rounds, under keys of two buckets at a time. So a
-   large group of near copies costs its size, not its square, and no link gets lost that
-   the buckets hold.
+2. In the buckets of each node's first keys, all are held against one of them, the leader:
+   their alignment similarity (``sequences``) must reach the threshold. That joins most of
+   a large group of near copies at a cost of its size. Then, in every bucket whose nodes
+   aren't yet of one component, each node outside the bucket's largest component is held
+   against all of the bucket that are not of its own, linked ones too: small buckets within
+   a task, larger ones in blocks, so many nodes a round. A pair is passed over only if its
+   ends are of one component, or if they share too few shingles for the threshold. So no
+   link gets lost that the buckets hold, whatever their size.
 3. Links make components; a class is named by the least id in it.
 """
 
@@ -28,8 +30,10 @@ from .order_minhash import labelled, sketches
 from .runtime import keep
 from .sequences import alignment_similarity, shingles, words
 
-#: Buckets with at most so many nodes are finished within a task.
-SMALL = 256
+#: Nodes of a block, and blocks of nodes a round that are held against all blocks of their bucket.
+SMALL, TURN = 256, 8
+#: Keys of a node whose buckets are held against their leaders first.
+FIRST = 8
 
 
 def _node(w: np.ndarray) -> int | None:
@@ -65,46 +69,88 @@ def _aligned(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _within(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
-    """Links of a small bucket: each node that is left against all after it, until it has one."""
-    nodes, found = pdf["node"].tolist(), [_elements(x, k) for x in pdf["words"]]
-    root, links = list(range(len(nodes))), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(nodes)):
-        for j in range(i):
-            if top(i) != top(j) and alignment_similarity(found[i], found[j], threshold) >= threshold:
-                root[top(i)] = top(j)
+def _across(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
+    """Links of a block: each leading node against all members, until they are of one component."""
+    pdf = pdf.sort_values("copied")
+    nodes, labels, found = pdf["node"].tolist(), pdf["label"].tolist(), [_elements(x, k) for x in pdf["words"]]
+    lead, n = pdf["lead"].to_numpy(bool), int((~pdf["copied"].to_numpy(bool)).sum())
+    if not n:
+        return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+    root, links = {x: x for x in labels}, []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sizes = np.array([len(x) for x in found])
+    begin = np.r_[0, np.cumsum(sizes)]
+    codes = np.unique(np.concatenate(found), return_inverse=True)[1]
+    own, of_members = np.zeros(len(codes), np.int32), codes[: begin[n]]
+    for i in np.flatnonzero(lead).tolist():
+        own[codes[begin[i] : begin[i + 1]]] = 1
+        shared = np.add.reduceat(own[of_members], begin[:n])
+        own[codes[begin[i] : begin[i + 1]]] = 0
+        # What aligns is shared, so this bound loses nothing.
+        for j in np.flatnonzero(shared / (sizes[:n] + sizes[i] - shared) >= threshold).tolist():
+            if top(labels[i]) != top(labels[j]) and alignment_similarity(found[i], found[j], threshold) >= threshold:
+                root[top(labels[i])] = top(labels[j])
                 links.append((nodes[j], nodes[i]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _union(links: list[DataFrame]) -> DataFrame:
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def _labelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
+    labels = components(_union(links))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def links_within_buckets(nodes: DataFrame, sequences: DataFrame, k: int, threshold: float, small: int = SMALL) -> list[DataFrame]:
     """Links of the nodes that share a bucket; enough of them to connect what is linked."""
     first, second = (sequences.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words")) for c in "ab")
     own_keys = keep(nodes.select("node", "keys"))
-    rows, links = own_keys.select("node", F.explode("keys").alias("key")), []
+    rows = own_keys.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    pairs = rows.join(leaders.select("key", "leader"), "key").where("node <> leader")
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    linked = pairs.join(first, "a").join(second, "b").mapInArrow(lambda it: _aligned(it, k, threshold), "a long, b long")
+    links = [keep(linked)]
+    rows = keep(_labelled(own_keys, links)).select("node", "label", F.explode("keys").alias("key"), F.lit(False).alias("done"))
+    nth = 0
     while True:
-        leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-        rows = keep(rows.join(leaders.select("key", "leader"), "key").where("node <> leader"))
-        pairs = rows.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        linked = pairs.join(first, "a").join(second, "b").mapInArrow(lambda it: _aligned(it, k, threshold), "a long, b long")
-        linked = keep(linked)
-        links.append(linked)
-        rest = rows.join(linked, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("node", "key")
-        sizes = rest.groupBy("key").count().where("count > 1")
-        rest = keep(rest.join(sizes, "key"))
-        few = rest.where(F.col("count") <= small).join(sequences, "node").select("key", "node", "words")
-        links.append(keep(few.groupBy("key").applyInPandas(lambda pdf: _within(pdf, k, threshold), "a long, b long")))
-        rows = rest.where(F.col("count") > small).join(own_keys, "node")
-        if rows.isEmpty():
+        # Buckets of more than one component; of those with the same nodes, one.
+        rows = keep(rows.join(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high"), "key", "left_semi"))
+        parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
+        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.expr("bit_xor(print)").alias("print"))
+        buckets = buckets.groupBy("n", "print").agg(F.min(F.struct("key", "main")).alias("b")).select("b.*", "n")
+        # Each pair of two components has an end outside the largest one: such nodes lead, once.
+        outside = rows.join(buckets, "key").where("not done and label <> main")
+        buckets = keep(outside.groupBy("key").agg(F.max("main").alias("main"), F.max("n").alias("n"), F.count("*").alias("left"), F.min("node").alias("next")))
+        if buckets.isEmpty():
+            return links
+        blocks, turns = F.ceil(F.col("n") / small).cast("long"), F.ceil(F.col("left") / (TURN * small)).cast("long")
+        turn = (F.pmod(F.xxhash64("node", F.lit(nth)), turns) == 0) | (F.col("node") == F.col("next"))
+        placed = rows.join(buckets, "key").select(
+            "key", "node", "label", "done", (~F.col("done") & (F.col("label") != F.col("main")) & turn).alias("lead"),
+            blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"),
+        )
+        placed = keep(placed)
+        members = placed.select("key", "block", "node", "label", "lead", F.lit(False).alias("copied"))
+        others = F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block"))
+        copies = placed.where("lead and blocks > 1").select("key", F.explode(others).alias("block"), "node", "label", "lead", F.lit(True).alias("copied"))
+        held = members.unionByName(copies).join(sequences, "node")
+        links.append(keep(held.groupBy("key", "block").applyInPandas(lambda pdf: _across(pdf, k, threshold), "a long, b long")))
+        more = buckets.where(F.col("left") > TURN * small).select("key")
+        if more.isEmpty():
             return links
-        rows = rows.select("node", "key", F.explode("keys").alias("other")).where("key <> other")
-        rows = rows.select("node", F.xxhash64("key", "other").alias("key"))
+        rows = placed.join(more, "key", "left_semi").select("node", "key", (F.col("done") | F.col("lead")).alias("done"))
+        rows, nth = keep(_labelled(rows, links)).select("node", "label", "key", "done"), nth + 1
 
 
 def near_duplicates(
@@ -134,10 +180,7 @@ def near_duplicates(
     sequences = wanted.mapInArrow(_sequences, "node long, words binary").join(shared.select("node"), "node", "left_semi")
     sequences = keep(sequences.dropDuplicates(["node"]))
     links = links_within_buckets(nodes.join(shared.select("node"), "node", "left_semi"), sequences, k, threshold, small)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    labels = components(edges)
+    labels = components(_union(links))
     named = labels.join(nodes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("class_id"))
     classes = nodes.select("node", "id", "n").join(labels.join(named, "label").select("node", "class_id"), "node", "left")
     classes = keep(classes.select("node", "n", F.coalesce("class_id", "id").alias("class_id")))

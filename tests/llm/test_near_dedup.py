@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from blockspan.llm.components import components
-from blockspan.llm.near_dedup import near_duplicates
+from blockspan.llm.near_dedup import links_within_buckets, near_duplicates
 from blockspan.llm.order_minhash import labelled, occurrences, sketches
 from blockspan.llm.sequences import alignment_similarity, common_subsequence, shingles, words
 
@@ -100,6 +100,26 @@ def test_classes_are_brute_force(docs, small):
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("small", [256, 5])
+def test_one_bucket_holds_all_links(spark, small):
+    r = random.Random(5)
+    chain = [text(150, r)]
+    for _ in range(59):  # copies that drift: the leader is unlike most of them
+        chain.append(edited(chain[-1], 3, r))
+    chain += [x for _ in range(15) for t in [text(60, r)] for x in (t, edited(t, 1, r))]
+    found = [words(t) for t in chain]
+    elements = [labelled(shingles(w, 5)) for w in found]
+    pairs = [(i, j) for j in range(len(chain)) for i in range(j) if alignment_similarity(elements[i], elements[j], 0.8) >= 0.8]
+    assert any(not ({(0, i), (0, j)} & set(pairs)) for i, j in pairs)
+    ids = r.sample(range(1000), len(chain))
+    nodes = spark.createDataFrame([(i, [7]) for i in ids], "node long, keys array<long>")
+    sequences = spark.createDataFrame([(i, w.tobytes()) for i, w in zip(ids, found, strict=True)], "node long, words binary")
+    got = [tuple(x) for df in links_within_buckets(nodes, sequences, 5, 0.8, small) for x in df.collect()]
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted((ids[i], ids[j]))) for i, j in pairs}
+    want = components(spark.createDataFrame([(ids[i], ids[j]) for i, j in pairs], "a long, b long")).collect()
+    assert sorted(components(spark.createDataFrame(got, "a long, b long")).collect()) == sorted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (200, 200)] + [(500, i) for i in range(501, 540)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
