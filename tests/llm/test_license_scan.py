@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from blockspan.llm.license_scan import TEMPLATES, Index, align, grams, license_scan, winnow
+from blockspan.llm.license_scan import TEMPLATES, Index, align, grams, license_scan, scan, winnow
 from blockspan.llm.sequences import Words
 
 R = random.Random(8)
@@ -51,3 +51,10 @@ def test_no_template_hides_in_the_index():
     for name, t in TEMPLATES.items():
         h = grams(Words(t).ids, 3)
         assert any(int(x) in index.places for x in h), name
+
+
+def test_headers_are_found():
+    index = Index(TEMPLATES, 3, 4)
+    gnu = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    text = f"This program is free software: you can redistribute it and/or modify it {gnu} " + TEMPLATES["GPL-3.0-header"].split("later version. ")[1]
+    assert ("GPL-3.0-header", 1.0) in [f[:2] for f in scan(text, index, 0.8)]
