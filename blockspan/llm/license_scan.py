@@ -2,10 +2,15 @@
 
 Templates become words; hashes of ``k`` words in a row are winnowed (of each ``window``
 hashes the least is kept) into an inverted index from hash to templates and places. It is
-as large as the templates are and goes to every task. A document's winnowed hashes are
-looked up; hits of one template that lie on diagonals near each other, within a template's
-length, make a candidate region. A banded alignment of the region's words with the
-template's words reports what part of the template is there and where in the text.
+as large as the templates are and goes to every task. A document that has too few of a
+template's words for the coverage, wherever they stand, is done with it. Else its hashes
+are looked up; hits that lie on diagonals near each other, within a template's length, make
+a candidate region. A banded alignment of the region's words with the template's words
+reports what part of the template is there and where in the text.
+
+Changed words can take away all kept hashes. But if d words may be missing, one of any
+d + 1 is there: so the places of the template's d + 1 longest words (the rarest, mostly)
+make further regions, in what the first regions leave.
 """
 
 from __future__ import annotations
@@ -116,6 +121,7 @@ class Index:
     names: list[str] = field(init=False)
     words: list[np.ndarray] = field(init=False)
     places: dict[int, list[tuple[int, int]]] = field(init=False)
+    coverage: float = 0.8
 
     def __post_init__(self) -> None:
         self.names = list(self.templates)
@@ -129,6 +135,19 @@ class Index:
             for at in winnow(h, self.window) if len(h) > 2 * self.window else range(len(h)):
                 self.places.setdefault(int(h[at]), []).append((t, int(at)))
         self.known = np.array(sorted(self.places), U)
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.weights = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words])
+        self.sizes = np.array([len(w) for w in self.words])
+        # Place in the template and word, of as many words as can't all be missing.
+        self.sure = []
+        for t, w in zip(self.templates.values(), self.words, strict=True):
+            need = sum(n < self.coverage * len(w) for n in range(len(w) + 1))  # fewest that suffice
+            at = np.argsort(-Words(t).lengths, kind="stable")[: len(w) - need + 1]
+            self.sure.append([(int(q), w[q]) for q in at])
+
+    def possible(self, w: np.ndarray, coverage: float) -> np.ndarray:
+        """Templates of whose words the text has enough, in any order."""
+        return np.flatnonzero(self.weights @ np.isin(self.vocabulary, w) >= coverage * self.sizes)
 
 
 def align(region: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -178,21 +197,40 @@ def scan(text: str, index: Index, coverage: float) -> list[tuple[str, float, int
     """Template, coverage and span (in characters) of each find."""
     words = Words(text)
     w = words.ids
+    possible = index.possible(w, coverage)
+    if not len(possible):
+        return []
     h = grams(w, index.k)
     # Every hash is looked up, so that none depends on how a window falls.
     at = np.flatnonzero(index.known[np.searchsorted(index.known[:-1], h)] == h)
-    hits: dict[int, list[tuple[int, int]]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {t: [] for t in possible.tolist()}
     for p in at:
         for t, q in index.places[int(h[p])]:
-            hits.setdefault(t, []).append((int(p), q))
+            if t in hits:
+                hits[t].append((int(p), q))
     found = []
     for t, own in hits.items():
-        size = len(index.words[t])
+        template, size = index.words[t], len(index.words[t])
         slack = max(2, size // 4)
-        for a, b in regions(own, size, slack):
-            matched, first, last = align(w[a:b], index.words[t], slack)
-            if matched >= coverage * size:
-                found.append((index.names[t], matched / size, *words.span(a + first, a + last)))
+        free = np.ones(len(w), bool)
+        open_ = w.astype(np.int64)
+
+        def held(parts: list[tuple[int, int]]) -> None:
+            for a, b in parts:
+                region = open_[a:b]
+                if np.count_nonzero(np.isin(template, region)) < coverage * size:
+                    continue
+                matched, first, last = align(region, template, slack)
+                if matched >= coverage * size:
+                    found.append((index.names[t], matched / size, *words.span(a + first, a + last)))
+                    taken.append((a + first, a + last + 1))
+
+        taken: list[tuple[int, int]] = []
+        held(regions(own, size, slack))
+        for a, b in taken:
+            free[a:b] = False
+            open_[a:b] = -1
+        held(regions([(int(p), q) for q, x in index.sure[t] for p in np.flatnonzero((w == x) & free)], size, slack))
     return sorted(found, key=lambda f: (f[2], -f[3], f[0]))
 
 
@@ -226,7 +264,7 @@ def license_scan(
     twice has two rows, templates that overlap are all reported. Null and empty texts have
     no rows, null ids stay null, repeated rows are each scanned, other columns are not read.
     """
-    index = Index(templates or TEMPLATES, k, window)
+    index = Index(templates or TEMPLATES, k, window, coverage)
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, nth int, license string, coverage double, span_start long, span_end long"

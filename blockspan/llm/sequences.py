@@ -63,6 +63,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.ids)
 
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._end - self._begin
+
     def span(self, first: int, last: int) -> tuple[int, int]:
         """Characters from the first word to the last, the end exclusive."""
         chars = lambda b: int(np.count_nonzero((self._data[:b] & 0xC0) != 0x80))

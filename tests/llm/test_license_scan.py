@@ -53,6 +53,23 @@ def test_no_template_hides_in_the_index():
         assert any(int(x) in index.places for x in h), name
 
 
+def test_changed_words_leave_a_candidate():
+    index = Index(TEMPLATES, 3, 4)
+    for text in ("Released under MIT License.", "Released under an MIT License."):
+        assert ("MIT-notice", 0.8) in [f[:2] for f in scan(noise(20) + " " + text + " " + noise(20), index, 0.8)]
+    for t, template in enumerate(index.words):
+        own, size = TEMPLATES[index.names[t]], len(template)
+        words, allowed = "".join(c if c.isalnum() else " " for c in own).split(), size - -(-size * 4 // 5)
+        assert len(words) == size
+        evenly = {(i + 1) * size // (allowed + 1) for i in range(allowed)}
+        for changed in (evenly, *(set(R.sample(range(size), allowed)) for _ in range(5))):
+            body = " ".join("qqq" if i in changed else x for i, x in enumerate(words))
+            text = noise(20) + " " + body + " " + noise(20)
+            matched = align(Words(body).ids, template, size)[0]
+            assert matched >= 0.8 * size
+            assert any(n == index.names[t] and c == matched / size for n, c, *_ in scan(text, index, 0.8)), (index.names[t], changed)
+
+
 def test_headers_are_found():
     index = Index(TEMPLATES, 3, 4)
     gnu = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
