@@ -4,7 +4,8 @@
    family of hash functions a bucket key: the smallest occurrence-labelled shingles, in
    text order (``order_minhash``). Texts of the same words are one *node* from here on.
 2. In the buckets of each node's first keys, all are held against one of them, the leader:
-   their alignment similarity (``sequences``) must reach the threshold. That joins most of
+   both their sets of shingles and the alignment of their sequences (``sequences``) must
+   reach the threshold. That joins most of
    a large group of near copies at a cost of its size. Then, in every bucket whose nodes
    aren't yet of one component, each node outside the bucket's largest component is held
    against all of the bucket that are not of its own, linked ones too: small buckets within
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .order_minhash import labelled, sketches
+from .order_minhash import sketches
 from .runtime import keep
 from .sequences import alignment_similarity, shingles, words
 
@@ -40,14 +41,14 @@ def _node(w: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63) if len(w) else None
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, keys, seen = [], [], set()
         for text in batch["text"].to_pylist():
             w = words(text)
             nodes.append(node := _node(w))
             # A copy met before in this batch has the same keys; they come from there.
-            keys.append([] if node is None or node in seen else sketches(labelled(shingles(w, k))).view(np.int64))
+            keys.append([] if node is None or node in seen else sketches(shingles(w, k), threshold).view(np.int64))
             seen.add(node)
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"])
 
@@ -58,21 +59,30 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.array([w.tobytes() for w in found])], ["node", "words"])
 
 
-def _elements(data: bytes, k: int) -> np.ndarray:
-    return labelled(shingles(np.frombuffer(data, np.uint32), k))
+def _shingles(data: bytes, k: int) -> np.ndarray:
+    return shingles(np.frombuffer(data, np.uint32), k)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sequences of shingles reach the threshold, as sets and aligned."""
+    x, y = np.unique(a), np.unique(b)
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    return shared >= threshold * (len(x) + len(y) - shared) and alignment_similarity(a, b, threshold) >= threshold
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch["a_words"].to_pylist(), batch["b_words"].to_pylist()
-        ok = [alignment_similarity(_elements(x, k), _elements(y, k), threshold) >= threshold for x, y in zip(a, b, strict=True)]
+        ok = [alike(_shingles(x, k), _shingles(y, k), threshold) for x, y in zip(a, b, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _across(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
     """Links of a block: each leading node against all members, until they are of one component."""
     pdf = pdf.sort_values("copied")
-    nodes, labels, found = pdf["node"].tolist(), pdf["label"].tolist(), [_elements(x, k) for x in pdf["words"]]
+    nodes, labels, found = pdf["node"].tolist(), pdf["label"].tolist(), [_shingles(x, k) for x in pdf["words"]]
     lead, n = pdf["lead"].to_numpy(bool), int((~pdf["copied"].to_numpy(bool)).sum())
     if not n:
         return pd.DataFrame([], columns=["a", "b"], dtype="int64")
@@ -83,16 +93,17 @@ def _across(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
             x = root[x]
         return x
 
-    sizes = np.array([len(x) for x in found])
+    sets = [np.unique(x) for x in found]
+    sizes = np.array([len(x) for x in sets])
     begin = np.r_[0, np.cumsum(sizes)]
-    codes = np.unique(np.concatenate(found), return_inverse=True)[1]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     own, of_members = np.zeros(len(codes), np.int32), codes[: begin[n]]
     for i in np.flatnonzero(lead).tolist():
         own[codes[begin[i] : begin[i + 1]]] = 1
         shared = np.add.reduceat(own[of_members], begin[:n])
         own[codes[begin[i] : begin[i + 1]]] = 0
-        # What aligns is shared, so this bound loses nothing.
-        for j in np.flatnonzero(shared / (sizes[:n] + sizes[i] - shared) >= threshold).tolist():
+        # Of sets that are alike, the sequences are aligned.
+        for j in np.flatnonzero(shared >= threshold * (sizes[:n] + sizes[i] - shared)).tolist():
             if top(labels[i]) != top(labels[j]) and alignment_similarity(found[i], found[j], threshold) >= threshold:
                 root[top(labels[i])] = top(labels[j])
                 links.append((nodes[j], nodes[i]))
@@ -158,18 +169,20 @@ def near_duplicates(
 ) -> DataFrame:
     """A row for each row of ``df``: its id and ``class_id``, the least id of its class.
 
-    Two texts are linked if the alignment of their shingles of ``k`` words, m aligned of
-    n_a and n_b distinct ones, has m / (n_a + n_b - m) >= ``threshold``; a class is what
-    links connect. Texts with the same words are in one class. A text without a word (null
+    Two texts are linked if their sets of shingles of ``k`` words have a Jaccard similarity
+    of ``threshold`` and the alignment of the sequences, m aligned of n_a and n_b, has
+    m / (n_a + n_b - m) >= ``threshold``, a shingle counting as often as it occurs. So a
+    text isn't like seven of it in a row, nor like another that has nothing in common with
+    it but a line said very often. A class is what links connect. Texts with the same words are in one class. A text without a word (null
     and empty ones too) is alone in its class; a null id is in a class with an id if the
     class has one, else ``class_id`` is null; repeated rows share their class. Other columns
     are not read. An empty table gives an empty table. Candidates come from hashing: a pair
-    of similarity 0.8 sharp is missed with a probability under 0.01, one of 0.85 under
-    0.0001.
+    at the threshold sharp is missed with a probability of about 0.005 at most (see
+    ``families``), one clearly above it much more seldom.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    signed = keep(source.mapInArrow(lambda it: _signatures(it, k), f"id {kind}, node long, keys array<long>"))
+    signed = keep(source.mapInArrow(lambda it: _signatures(it, k, threshold), f"id {kind}, node long, keys array<long>"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("keys").alias("keys"), F.count("*").alias("n"))
     nodes = keep(nodes)
     shared = nodes.select("node", "id", F.explode("keys").alias("key"))

@@ -87,8 +87,8 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, band: int, need: float = 0) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` of the
-    diagonal; bit-parallel, a band's width of bits a row. Where it can't be ``need``, any
-    smaller number."""
+    diagonal; bit-parallel, some two band widths of bits a row. Where it can't be ``need``,
+    any smaller number."""
     n = min(len(a), len(b))
     if not n:
         return 0
@@ -107,24 +107,46 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, band: int, need: float = 0)
     a_shared = np.isin(a, b)
     if not a_shared.any() or head + tail + np.count_nonzero(a_shared) < need:
         return head + tail
-    b_shared = np.isin(b, a)
-    where: dict[int, int] = {}
-    for j in np.flatnonzero(b_shared).tolist():
-        x = int(b[j])
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    open_ = full
+    at = np.flatnonzero(np.isin(b, a))
+    at = at[np.argsort(b[at], kind="stable")]
+    cuts = np.r_[0, np.flatnonzero(np.diff(b[at])) + 1, len(at)]
+    where = {int(b[at[x]]): at[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
+    common: dict[int, int] = {}  # all places of elements that occur often, as bits
+    # ``open_`` has the bits of the places from ``base`` to ``top``. Those before the band
+    # never change again and are counted; those beyond it are still all set.
+    open_, base, top, done = 0, 0, 0, 0
     for i in np.flatnonzero(a_shared).tolist():
-        low = max(0, i - band)
-        # Only the bits of the band take part in a row; the others keep what they were.
-        match = where[int(a[i])] >> low << low & (1 << min(len(b), i + band + 1)) - 1
+        low, high = max(0, i - band), min(len(b), i + band + 1)
+        if low - base > 4096:
+            gone = min(low, top) - base
+            done += gone - (open_ & (1 << gone) - 1).bit_count()
+            open_, base = open_ >> gone, base + gone
+            if base < low:
+                base = top = low
+        if high > top:
+            more = min(len(b), high + 4096)
+            open_, top = open_ | (1 << more - top) - 1 << top - base, more
+        x = int(a[i])
+        places = where[x]
+        if len(places) <= 8:
+            match = 0
+            for j in places:
+                if low <= j < high:
+                    match |= 1 << j - base
+        else:
+            if x not in common:
+                bits = np.zeros(len(b), np.uint8)
+                bits[places] = 1
+                common[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            match = common[x] >> low << low - base & (1 << high - base) - 1
         u = open_ & match
-        open_ = (open_ + u | open_ - u) & full
-    return head + tail + len(b) - open_.bit_count()
+        if u:
+            open_ = (open_ + u | open_ - u) & (1 << top - base) - 1
+    return head + tail + done + top - base - open_.bit_count()
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Shingles that align in order, over all distinct places: m / (n_a + n_b - m).
+    """Shingles that align in order, over all places: m / (n_a + n_b - m).
 
     The band is what ``least`` leaves room for: at that similarity at most
     (n_a + n_b) (1 - least) / (1 + least) places stay unaligned. Below ``least`` the value
