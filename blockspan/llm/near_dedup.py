@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .order_minhash import sketches
-from .runtime import keep
+from .runtime import keep, settle
 from .sequences import alignment_similarity, shingles, words
 
 #: Nodes of a block, and blocks of nodes a round that are held against all blocks of their bucket.
@@ -131,18 +131,18 @@ def links_within_buckets(nodes: DataFrame, sequences: DataFrame, k: int, thresho
     pairs = rows.join(leaders.select("key", "leader"), "key").where("node <> leader")
     pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     linked = pairs.join(first, "a").join(second, "b").mapInArrow(lambda it: _aligned(it, k, threshold), "a long, b long")
-    links = [keep(linked)]
-    rows = keep(_labelled(own_keys, links)).select("node", "label", F.explode("keys").alias("key"), F.lit(False).alias("done"))
+    links = [settle(linked)]
+    rows = settle(_labelled(own_keys, links)).select("node", "label", F.explode("keys").alias("key"), F.lit(False).alias("done"))
     nth = 0
     while True:
         # Buckets of more than one component; of those with the same nodes, one.
-        rows = keep(rows.join(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high"), "key", "left_semi"))
+        rows = settle(rows.join(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high"), "key", "left_semi"))
         parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
         buckets = parts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.expr("bit_xor(print)").alias("print"))
         buckets = buckets.groupBy("n", "print").agg(F.min(F.struct("key", "main")).alias("b")).select("b.*", "n")
         # Each pair of two components has an end outside the largest one: such nodes lead, once.
         outside = rows.join(buckets, "key").where("not done and label <> main")
-        buckets = keep(outside.groupBy("key").agg(F.max("main").alias("main"), F.max("n").alias("n"), F.count("*").alias("left"), F.min("node").alias("next")))
+        buckets = settle(outside.groupBy("key").agg(F.max("main").alias("main"), F.max("n").alias("n"), F.count("*").alias("left"), F.min("node").alias("next")))
         if buckets.isEmpty():
             return links
         blocks, turns = F.ceil(F.col("n") / small).cast("long"), F.ceil(F.col("left") / (TURN * small)).cast("long")
@@ -151,17 +151,17 @@ def links_within_buckets(nodes: DataFrame, sequences: DataFrame, k: int, thresho
             "key", "node", "label", "done", (~F.col("done") & (F.col("label") != F.col("main")) & turn).alias("lead"),
             blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"),
         )
-        placed = keep(placed)
+        placed = settle(placed)
         members = placed.select("key", "block", "node", "label", "lead", F.lit(False).alias("copied"))
         others = F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block"))
         copies = placed.where("lead and blocks > 1").select("key", F.explode(others).alias("block"), "node", "label", "lead", F.lit(True).alias("copied"))
         held = members.unionByName(copies).join(sequences, "node")
-        links.append(keep(held.groupBy("key", "block").applyInPandas(lambda pdf: _across(pdf, k, threshold), "a long, b long")))
+        links.append(settle(held.groupBy("key", "block").applyInPandas(lambda pdf: _across(pdf, k, threshold), "a long, b long")))
         more = buckets.where(F.col("left") > TURN * small).select("key")
         if more.isEmpty():
             return links
         rows = placed.join(more, "key", "left_semi").select("node", "key", (F.col("done") | F.col("lead")).alias("done"))
-        rows, nth = keep(_labelled(rows, links)).select("node", "label", "key", "done"), nth + 1
+        rows, nth = settle(_labelled(rows, links)).select("node", "label", "key", "done"), nth + 1
 
 
 def near_duplicates(

@@ -36,6 +36,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``keep`` for loops. A checkpoint hands on Spark's estimate of its size, that of a join
+    is the product of its sides', and so it squares from round to round until the planner
+    itself takes minutes over its digits. Here the rows become a table of unknown size."""
+    spark, kept = df.sparkSession, keep(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
