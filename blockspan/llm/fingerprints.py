@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import n_tasks, text_or_empty
+from .runtime import tasks_for, text_or_empty
 
 BUCKETS = 256
 #: Places in the window of the two bytes that follow the first.
@@ -153,9 +153,9 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
     order of their texts, each for itself; one document alone follows itself. Other columns
     are not read. An empty table gives an empty table. Ids are integers.
     """
-    n = n_tasks(df.sparkSession)
+    n = tasks_for(df, text_col)
     rows = _in_ranges(df, id_col, text_col, ranges or max(128, 4 * n))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("id"), "text")
+    rows = rows.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("id"), "text")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = rows.mapInPandas(_pairs, schema)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), *out.columns[1:])

@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,25 +107,30 @@ def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, [*starts[1:], n_tokens], strict=True)]
 
 
-def _pieces(rows: Iterator[pd.DataFrame], vocabulary: str, end_id: int | None, capacity: int, with_ids: bool) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(vocabulary)
     end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
     block, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-    for pdf in rows:
-        out = []
-        for key, ids in zip(pdf["id"], encoder.encode(pdf["text"]), strict=True):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for batch in batches:
+        out: list[list] = [[] for _ in kinds]
+        for row, ids in enumerate(encoder.encode(batch["text"].to_pylist())):
             ids = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
             for piece, (start, n) in enumerate(cut(len(ids), capacity)):
                 data = ids[start : start + n].tobytes()
-                out.append((key, piece, start, n, zlib.crc32(data), block, ranks[n], data if with_ids else None))
+                for column, value in zip(out, (row, piece, start, n, zlib.crc32(data), block, ranks[n], data if with_ids else None), strict=True):
+                    column.append(value)
                 ranks[n] += 1
-        yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "block", "nth", "ids"])
+        row, *columns = (pa.array(c, k) for c, k in zip(out, kinds, strict=True))
+        yield pa.RecordBatch.from_arrays([batch["id"].take(row), *columns], ["id", "piece", "start", "length", "ids_crc32", "block", "nth", "ids"])
 
 
-def _placed(rows: Iterator[pd.DataFrame], where: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for pdf in rows:
-        sequence, offset = place(pdf["length"].to_numpy(), pdf["nth"].to_numpy() + pdf["before"].to_numpy(), where)
-        yield pdf.drop(columns=["block", "nth", "before"]).assign(sequence_id=sequence, offset=offset)
+def _placed(batches: Iterator[pa.RecordBatch], where: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+    for batch in batches:
+        n, nth, before = (batch[c].to_numpy() for c in ("length", "nth", "before"))
+        sequence, offset = place(n, nth + before, where)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
 
 def pack(
@@ -150,7 +155,7 @@ def pack(
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = source.mapInPandas(
+    pieces = source.mapInArrow(
         lambda it: _pieces(it, vocabulary, end_id, capacity, with_ids), f"{columns}, block long, nth long, ids binary"
     ).where("length > 0")
     pieces = keep(pieces)
@@ -162,5 +167,5 @@ def pack(
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranks = blocks.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     out = pieces.join(ranks, ["length", "block"]).select(*pieces.columns, "before")
-    out = out.mapInPandas(lambda it: _placed(it, where), f"{columns}, ids binary, sequence_id long, offset long")
+    out = out.mapInArrow(lambda it: _placed(it, where), f"{columns}, ids binary, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col) if with_ids else out.drop("ids").withColumnRenamed("id", id_col)

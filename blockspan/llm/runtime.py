@@ -48,6 +48,12 @@ def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, text_col: str, each: int = 64 << 20) -> int:
+    """As many tasks as give each so many bytes of text; the session's number at least."""
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(n_tasks(df.sparkSession), -(-size // each))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

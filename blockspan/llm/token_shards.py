@@ -17,13 +17,14 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .runtime import n_tasks, text_or_empty
+from .runtime import tasks_for, text_or_empty
 from .words import Encoder
 
 MAGIC, BLOCK = b"WMX1", 512
@@ -142,20 +143,22 @@ class WaveletMatrix:
         return ids
 
 
-def _shards(rows: Iterator[pd.DataFrame], vocabulary: str, end_id: int, shard_tokens: int) -> Iterator[pd.DataFrame]:
+def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, shard_tokens: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(vocabulary)
     end = np.array([end_id], encoder.dtype).tobytes()
     part, nth, before, keys, parts, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+    names = ["part", "shard", "before", "n_tokens", "ids", "lengths", "payload"]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary())
 
-    def shard() -> pd.DataFrame:
+    def shard() -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(parts), encoder.dtype)
         lengths = [len(x) // encoder.dtype.itemsize for x in parts]
-        payload = WaveletMatrix.build(ids).to_bytes()
-        return pd.DataFrame({"part": [part], "shard": [nth], "before": [before], "n_tokens": [len(ids)], "ids": [keys], "lengths": [lengths], "payload": [payload]})
+        row = (part, nth, before, len(ids), keys, lengths, WaveletMatrix.build(ids).to_bytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-    for pdf in rows:
-        for key, ids in zip(pdf["id"].tolist(), encoder.encode(pdf["text"]), strict=True):
-            keys.append(None if key != key else key)
+    for batch in batches:
+        for key, ids in zip(batch["id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
+            keys.append(key)
             parts.append(ids + end)
             size += len(parts[-1]) // encoder.dtype.itemsize
             if size >= shard_tokens:
@@ -181,11 +184,11 @@ def write_shards(
     empty table. Documents are never split: one larger than ``shard_tokens`` has a shard
     of its own.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, field = df.schema[id_col].dataType.simpleString(), to_arrow_type(df.schema[id_col].dataType)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    docs = docs.repartitionByRange(n_tasks(df.sparkSession), "id").sortWithinPartitions("id")
+    docs = docs.repartitionByRange(tasks_for(df, text_col), "id").sortWithinPartitions("id")
     schema = f"part int, shard int, before long, n_tokens long, ids array<{kind}>, lengths array<long>, payload binary"
-    shards = docs.mapInPandas(lambda it: _shards(it, vocabulary, end_id, shard_tokens), schema)
+    shards = docs.mapInArrow(lambda it: _shards(it, vocabulary, end_id, shard_tokens, field), schema)
     shards.write.option("compression", "uncompressed").parquet(path)
 
 
@@ -198,16 +201,17 @@ def _bases(spark: SparkSession, path: str) -> dict[int, int]:
     return out
 
 
-def _documents(rows: Iterator[pd.DataFrame], bases: dict[int, int], with_ids: bool) -> Iterator[pd.DataFrame]:
-    for pdf in rows:
-        for part, before, keys, lengths, payload in zip(*(pdf[c] for c in ("part", "before", "ids", "lengths", "payload")), strict=True):
-            tokens, lengths = WaveletMatrix.from_bytes(payload).decode().astype("<u4"), np.asarray(lengths, np.int64)
+def _documents(batches: Iterator[pa.RecordBatch], bases: dict[int, int], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    names = ["id", "start", "n_tokens", "ids_crc32", "tokens"]
+    for batch in batches:
+        for row, (part, before, payload) in enumerate(zip(*(batch[c].to_pylist() for c in ("part", "before", "payload")), strict=True)):
+            tokens = WaveletMatrix.from_bytes(payload).decode().astype("<u4")
+            lengths = batch["lengths"][row].values.to_numpy()
             ends = np.cumsum(lengths)
             starts = ends - lengths
             pieces = [tokens[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame(
-                {"id": keys, "start": bases[part] + before + starts, "n_tokens": lengths, "ids_crc32": [zlib.crc32(x) for x in pieces], "tokens": pieces if with_ids else None}
-            )
+            checks, raw = pa.array([zlib.crc32(x) for x in pieces], pa.int64()), pa.array(pieces if with_ids else [None] * len(pieces), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["ids"][row].values, pa.array(bases[part] + before + starts), pa.array(lengths), checks, raw], names)
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -217,21 +221,22 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_
     kind = shards.schema["ids"].dataType.elementType.simpleString()
     bases = _bases(spark, path)
     schema = f"id {kind}, start long, n_tokens long, ids_crc32 long, tokens binary"
-    out = shards.mapInPandas(lambda it: _documents(it, bases, with_ids), schema).withColumnRenamed("id", id_col)
+    out = shards.mapInArrow(lambda it: _documents(it, bases, with_ids), schema).withColumnRenamed("id", id_col)
     return out if with_ids else out.drop("tokens")
 
 
-def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+def find_token(spark: SparkSession, path: str, token: int, id_col: str = "doc_id") -> DataFrame:
     """Every occurrence of a token: its document and its place there, by select alone."""
 
-    def found(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for keys, lengths, payload in zip(pdf["ids"], pdf["lengths"], pdf["payload"], strict=True):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, payload in enumerate(batch["payload"].to_pylist()):
                 at = np.array(WaveletMatrix.from_bytes(payload).occurrences(token), np.int64)
+                lengths = batch["lengths"][row].values.to_numpy()
                 ends = np.cumsum(lengths)
                 k = np.searchsorted(ends, at, side="right")
-                yield pd.DataFrame({"doc_id": np.asarray(keys, object)[k], "at": at - (ends - lengths)[k]})
+                yield pa.RecordBatch.from_arrays([batch["ids"][row].values.take(pa.array(k, pa.int64())), pa.array(at - (ends - lengths)[k])], ["id", "at"])
 
     shards = spark.read.parquet(path)
     kind = shards.schema["ids"].dataType.elementType.simpleString()
-    return shards.mapInPandas(found, f"doc_id {kind}, at long")
+    return shards.mapInArrow(found, f"id {kind}, at long").withColumnRenamed("id", id_col)

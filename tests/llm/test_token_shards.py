@@ -45,3 +45,12 @@ def test_empty(spark, docs):
     path = new_path(spark, "shards")
     write_shards(docs([]), path)
     assert read_documents(spark, path).count() == 0
+
+
+def test_large_ids_beside_nulls(spark):
+    big, path = (1 << 53) + 1, new_path(spark, "shards")
+    df = spark.createDataFrame([(big, "one", 1, "a"), (None, "none", 2, "b"), (big + 2, None, 3, "c"), (big + 2, None, 3, "c")], "doc_id long, text string, part int, shard string").coalesce(1)
+    write_shards(df, path)
+    assert sorted([r.doc_id for r in read_documents(spark, path).collect()], key=str) == sorted([None, big, big + 2, big + 2], key=str)
+    found = find_token(spark, path, 2, id_col="key").collect()
+    assert sorted([r.key for r in found], key=str) == sorted([None, big, big + 2, big + 2], key=str)

@@ -99,3 +99,48 @@ def test_pack(docs, library):
 
 def test_pack_nothing(docs):
     assert pack(docs([])).count() == 0
+
+
+def test_large_ids_beside_nulls(spark, docs, library):
+    big = (1 << 53) + 1
+    rows = [(None, "null"), (big, "one " * 90), (big + 2, "two"), (big + 4, None), (big + 4, None)]
+    clash = "doc_id long, text string, id string, key int, n_bytes string, chunk int, length string, block int, nth int, piece string, ids int"
+    df = spark.createDataFrame([(*r, "x", 1, "y", 2, "z", 3, 4, "p", 5) for r in rows], clash).coalesce(1)
+    want = sorted([(i, len(ids(library, t))) for i, t in rows], key=str)
+    for chunk_chars, overlap in ((1000, 50), (60, 30)):
+        got = token_counts(df, chunk_chars=chunk_chars, overlap=overlap).collect()
+        assert sorted([(r.doc_id, r.n_tokens) for r in got], key=str) == want
+    assert sorted([(r.doc_id, r.length - 1) for r in pack(df).collect()], key=str) == want
+
+
+def one_by_one(lengths, capacity):
+    """Best-two-fit, a bin at a time, over a plain list of documents."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        items, gap = [], capacity
+        while fit := next((x for x in left if x <= gap), None):
+            left.remove(fit)
+            items.append(fit)
+            gap -= fit
+        if gap and len(items) > 1:
+            room, best = gap + items[-1], items[-1]
+            pairs = [(left[i] + left[j], left[j], left[i]) for i in range(len(left)) for j in range(i + 1, len(left)) if best < left[i] + left[j] <= room]
+            if pairs:
+                most = max(p[0] for p in pairs)
+                pair = min(p for p in pairs if p[0] == most)
+                left = sorted([*left, items.pop()], reverse=True)
+                for x in pair[1:]:
+                    left.remove(x)
+                    items.append(x)
+        bins.append(sorted(items, reverse=True))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_patterns_are_best_two_fit_one_by_one(seed):
+    r = random.Random(seed)
+    lengths = [r.choice((r.randint(1, 40), r.randint(1, 12))) for _ in range(r.randint(1, 90))]
+    made = [items for items, times in patterns(np.bincount(lengths, minlength=41), 40) for _ in range(times)]
+    want = one_by_one(lengths, 40)
+    assert sorted(x for b in made for x in b) == sorted(lengths)
+    assert len(made) == len(want) and sorted(map(sum, made)) == sorted(map(sum, want))
