@@ -18,27 +18,44 @@ from blockspan.llm.quality import quality_model, score
 from blockspan.llm.runtime import new_path, read
 
 
+def _hidden(docs: DataFrame) -> DataFrame:
+    """``docs`` with names for all but id and text that no operator uses itself."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)))
+
+
+def _shown(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, by their own names again."""
+    return df.select(*(F.col(c if c in ("doc_id", "text") else f"column {i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier calls good. It learns from labels of ``docs``."""
     model = quality_model(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 1").select(docs.columns)
+    return _shown(score(_hidden(docs), model).where("predicted = 1"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five or more documents hold; the last one keeps them.
 
-    ``n_chars`` is that of the new text. Documents that lose all their lines stay, empty.
+    ``n_chars``, where there is one, is that of the new text. Documents that lose all their
+    lines stay, empty.
     """
-    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    kept = _shown(line_dedup(_hidden(docs)), docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id; of equal rows one.
+    """Of each class of near duplicates the document with the least id; of rows with the
+    same id and text one.
 
-    Documents without an id all stay, since no class can name them.
+    Documents without an id stay, since no class can name them; of equal texts one.
     """
-    first = near_duplicates(docs).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
+    rows = _hidden(docs).withColumn("print", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("is_null", F.col("text").isNull())
+    # The join has dealt the rows by id already; the rows of an id are told apart where they are.
+    named = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "print", "is_null"])
+    nameless = rows.where("doc_id is null").dropDuplicates(["print", "is_null"])
+    return _shown(named.unionByName(nameless), docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
