@@ -77,3 +77,16 @@ def test_hard_rows(spark, tmp_path):
         df = out
     assert sorted((r.doc_id for r in df.collect()), key=str) == sorted([None, None, 1, 2, 3, 5], key=str)
     assert p.quality(spark, df, tmp_path).columns == df.columns
+
+
+def test_columns_of_the_user_come_back(spark, tmp_path):
+    tables(spark, tmp_path)
+    names = ["score", "predicted", "n_lines", "n_dropped", "first", "print", "label", "h", "id", "node", "key", "odd name", "column 2"]
+    rows = [(i, prose(6), *(f"{c} {i}" for c in names)) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, df, tmp_path)
+        assert out.columns == df.columns
+        got = [tuple(r) for r in out.collect()]
+        assert name == "quality" or len(got) == 6
+        assert all(r[2:] == rows[r[0]][2:] for r in got), name
