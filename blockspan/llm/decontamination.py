@@ -78,26 +78,28 @@ def edit_search(masks: dict[str, int], m: int, text: str, anchored: bool = False
     return best, end
 
 
+def _apart(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on across either end of this part of the text."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(begin) and not inside(end)
+
+
 class Matcher:
     """All passages of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], error_rate: float, min_chars: int, max_chars: int):
+    def __init__(self, items: list[tuple[object, str]], error_rate: float, max_chars: int):
         import ahocorasick
 
         self.passages: list[tuple[object, int, str, int]] = []  # item, part, text, errors
-        self.whole: dict[str, list[int]] = {}
         self.groups: list[tuple[int, int, int, int, dict[str, int]]] = []  # passage, begin, end, errors, masks
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             text = normal(text)
-            n_parts = max(1, -(-len(text) // max_chars))
-            for part in range(n_parts if text else 0):
-                t = text[len(text) * part // n_parts : len(text) * (part + 1) // n_parts]
+            n_parts = -(-len(text) // max_chars)
+            cut = [len(text) * k // n_parts for k in range(n_parts + 1)] if n_parts > 1 else []
+            for part, t in enumerate([text, *(text[a:b] for a, b in zip(cut, cut[1:], strict=False))] if text else ()):
                 errors, i = int(error_rate * len(t)), len(self.passages)
                 self.passages.append((key, part, t, errors))
-                if len(text) < min_chars:
-                    self.whole.setdefault(t, []).append(i)
-                    continue
                 cuts = [len(t) * k // (errors + 1) for k in range(errors + 2)]
                 for first in range(0, errors + 1, GROUP):
                     own = cuts[first : first + GROUP + 1]
@@ -113,14 +115,15 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Passage, distance, begin and end in a normal text; the best of each passage."""
-        found = [(i, 0, 0, len(text)) for i in self.whole.get(text, ())]
-        hits = set()
+        found, hits = [], set()
         for end, (size, places) in self.automaton.iter(text) if len(self.automaton) else ():
             for g, offset in places:
                 hits.add((g, end + 1 - size - offset))
         starts: dict[int, set[int]] = {}
         for g, s in hits:
             i, a, b, errors, masks = self.groups[g]
+            if not self.passages[i][3] and not _apart(text, s, s + b):
+                continue  # short ones allow no edit, but must stand as words of their own
             if s not in starts.get(i, ()):
                 if edit_search(masks, b - a, text[max(0, s + a - errors) : s + b + errors])[0] <= errors:
                     starts.setdefault(i, set()).add(s)
@@ -196,7 +199,6 @@ def benchmark_hits(
     item_col: str = "item_id",
     item_text: str = "text",
     error_rate: float = 0.1,
-    min_chars: int = 20,
     max_chars: int = 2_000,
     block_chars: int = 8_000_000,
 ) -> DataFrame:
@@ -205,13 +207,14 @@ def benchmark_hits(
 
     Case and the amount of white space make no difference; beyond that up to ``error_rate``
     edits a character. Of several occurrences of a passage the nearest is reported, the
-    first of equally near ones. Items of more than ``max_chars`` characters are matched in
-    equal parts of at most that size. An item of fewer than ``min_chars`` characters matches
-    only a document that has no other text; an empty or null one matches nothing. Null and
+    first of equally near ones. Every item is matched as a whole (part 0); one of more than
+    ``max_chars`` characters also in equal parts of at most that size (parts from 1), so
+    that a piece of it in a document shows. An item so short that no edit is allowed must
+    stand as words of its own; an empty or null one matches nothing. Null and
     empty documents have no hits, null ids stay null, repeated documents each have theirs,
     repeated items count once, other columns are not read, empty tables give no rows.
     """
-    how = (error_rate, min_chars, max_chars)
+    how = (error_rate, max_chars)
     field, kind = items.schema[item_col].dataType, df.schema[id_col].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -231,13 +234,12 @@ def decontaminate(
     item_col: str = "item_id",
     item_text: str = "text",
     error_rate: float = 0.1,
-    min_chars: int = 20,
     max_chars: int = 2_000,
     block_chars: int = 8_000_000,
 ) -> DataFrame:
     """The rows of ``df`` that contain no passage of a test item, as ``benchmark_hits`` has
     them; all columns pass through."""
-    how = (error_rate, min_chars, max_chars)
+    how = (error_rate, max_chars)
     for sent in _blocks(items, item_col, item_text, block_chars):
         df = df.mapInArrow(lambda it, s=sent: _clean(it, s, how, text_col), df.schema)
     return df

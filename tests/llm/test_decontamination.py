@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from blockspan.llm.decontamination import Matcher, _masks, benchmark_hits, decontaminate, edit_search, normal, origins
+from blockspan.llm.decontamination import _masks, benchmark_hits, decontaminate, edit_search, normal, origins
 
 R = random.Random(6)
 WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(2, 8))) for _ in range(400)]
@@ -45,23 +47,30 @@ def test_origins():
 
 
 def test_hits_are_brute_force(spark, docs):
-    items = [(i, text(R.randint(6, 40))) for i in range(25)] + [(30, "tiny"), (31, ""), (32, None), (33, text(90)), (3, text(20))]
+    items = [(i, text(R.randint(6, 40))) for i in range(25)] + [(30, "tiny"), (31, ""), (32, None), (33, text(90)), (34, "a word or two"), (3, text(20))]
     items[5] = (5, items[5][1].replace(" ", " \n").upper())
     rows = []
     for i in range(35):
-        key, t = R.choice(items[:25] + items[-2:])
+        key, t = R.choice(items[:25] + items[-3:])
         t = R.choice([t, edited(t, R.randint(0, 8)), t.upper(), t.replace(" ", "\n"), "", t[: len(t) // 2]])
         rows.append((i, text(R.randint(0, 60)) + " " + t + " " + text(R.randint(0, 30))))
     rows += [(70, None), (71, ""), (72, " TINY "), (73, "tiny bit"), (None, items[2][1]), (4, rows[4][1])]
+    rows += [(80, f"see {items[25][1]}s"), (81, f"(Tiny) {text(9)} {items[-2][1]}"), (82, f"x {edited(items[-2][1], 1)} y"), (83, text(400) + " " + items[3][1])]
     want = []
     for d, t in rows:
-        for i, (key, part, p, errors) in enumerate(m.passages if (m := Matcher([x for x in items if x[1]], 0.1, 20, 300)) else ()):
-            if len(p) < 20:
-                hit = (0, 0) if normal(t) == p else (99, 0)
-            else:
-                hit = semi(p, normal(t))
-            if hit[0] <= errors:
-                want.append((d, key, part, hit[0]))
+        t = normal(t)
+        for key, p in items:
+            p = normal(p)
+            n = -(-len(p) // 300)
+            parts = [p, *(p[len(p) * k // n : len(p) * (k + 1) // n] for k in range(n) if n > 1)]
+            for part, q in enumerate(parts if p else ()):
+                if len(q) < 10:
+                    hit = (0 if re.search(rf"(?<![^\W_]){re.escape(q)}(?![^\W_])", t) else 99, 0)
+                else:
+                    hit = semi(q, t) if t else (99, 0)
+                if hit[0] <= len(q) // 10:
+                    want.append((d, key, part, hit[0]))
+    assert {(81, 30, 0, 0), (73, 30, 0, 0), (72, 30, 0, 0)} <= set(want) and any(k == 34 for _, k, *_ in want)
     table = spark.createDataFrame(items, "item_id long, text string")
     for block in (8_000_000, 900):
         got = benchmark_hits(docs(rows).repartition(3), table, block_chars=block, max_chars=300)
@@ -70,10 +79,12 @@ def test_hits_are_brute_force(spark, docs):
         clean = decontaminate(docs(rows), table, block_chars=block, max_chars=300)
         assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, _ in rows if d not in {w[0] for w in want}), key=str)
         assert clean.columns == docs([]).columns
-    by = dict((d, t) for d, t in rows if d != 4)
+    by, texts = dict((d, t) for d, t in rows if d != 4), {normal(t) for _, t in items}
     for r in found:
         if r.distance == 0 and r.doc_id in by:
-            assert normal(by[r.doc_id][r.span_start : r.span_end]) in {p[2].strip() for p in m.passages}
+            assert any(normal(by[r.doc_id][r.span_start : r.span_end]) in x for x in texts)
+    clash = docs(rows).withColumn("item", F.lit("x")).withColumn("id", F.lit(1)).withColumn("part", F.lit(2)).withColumn("distance", F.lit(3))
+    assert decontaminate(clash, table).columns == clash.columns and benchmark_hits(clash, table).columns == got.columns
 
 
 def test_empty(spark, docs):
