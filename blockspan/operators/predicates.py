@@ -1,4 +1,9 @@
-"""Row predicates of log and transaction selections, as columns that are never null.
+"""Row predicates of log and transaction selections.
+
+They are plain comparisons, so that a scan's filter can take them to the Parquet reader:
+where a column is null they may be null themselves, which a filter takes for false. Where
+the truth itself is wanted, or its opposite, ``sure`` makes a column of it that is never
+null.
 
 ``semantics="documented"`` is the default. ``"literal"`` has three deviations that some
 archives show: a topic filter beyond a log's topics passes, sender and recipient filters
@@ -38,8 +43,13 @@ class TransactionSelection:
 
 
 def within(column: str, values: Sequence) -> Column:
-    """Membership; null is no member."""
-    return F.coalesce(F.col(column).isin(*values), F.lit(False)) if values else F.lit(False)
+    """Membership; of a null value not known."""
+    return F.col(column).isin(*values) if values else F.lit(False)
+
+
+def sure(predicate: Column) -> Column:
+    """True or false; what isn't known is false."""
+    return F.coalesce(predicate, F.lit(False))
 
 
 def block_range(column: str, first: int, end: int | None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import sighash, topics_split
+from .predicates import sure
 
 TX_KEY = ["block_number", "transaction_index"]
 
@@ -21,7 +22,7 @@ def selected_or_parent(transactions: DataFrame, selected, logs: DataFrame) -> Da
     Rows that match are taken by the scan's filter; only the others are probed, so the two
     branches can't overlap and nothing needs to be deduplicated.
     """
-    others = transactions.where(~selected)
+    others = transactions.where(~sure(selected))
     return transactions.where(selected).unionByName(parent_transactions(others, logs))
 
 
@@ -46,6 +47,24 @@ def hot_and_cold(cold: DataFrame, hot: DataFrame, column: str, height: int) -> D
     return cold.where(F.col(column) < height).unionByName(hot.where(F.col(column) >= height))
 
 
+def roll_end(blocks: DataFrame, transactions: DataFrame, logs: DataFrame, first: int, max_blocks: int, max_rows: int) -> DataFrame:
+    """One row, ``roll_end``: where a folder that begins at ``first`` ends, exclusive. It is
+    the first place with ``max_blocks`` blocks, or ``max_rows`` transactions or logs, behind
+    it; null if the rows don't reach any. A block is never split. At most ``max_blocks``
+    counts are ordered as a whole."""
+
+    def inside(df: DataFrame, number: str) -> DataFrame:
+        return df.select(F.col(number).alias("number")).where((F.col("number") >= first) & (F.col("number") < first + max_blocks))
+
+    kinds = (("b", blocks, "number"), ("t", transactions, "block_number"), ("l", logs, "block_number"))
+    counts = [inside(df, n).groupBy("number").agg(*(F.count("*").alias(c) if c == k else F.lit(0).cast("long").alias(c) for c in "btl")) for k, df, n in kinds]
+    each = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("number").agg(*(F.sum(c).alias(c) for c in "btl"))
+    upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    total = each.select("number", *(F.sum(c).over(upto).alias(c) for c in "btl"))
+    full = (F.col("b") >= max_blocks) | (F.col("t") >= max_rows) | (F.col("l") >= max_rows)
+    return total.where(full).agg((F.min("number") + 1).alias("roll_end"))
+
+
 def flatten_transactions(blocks: DataFrame) -> DataFrame:
     """From blocks that nest their ``transactions`` to rows of transactions."""
     return blocks.select(F.explode("transactions").alias("t")).select("t.*")

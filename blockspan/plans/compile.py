@@ -38,14 +38,17 @@ def matched(tables: Tables, query: Query, semantics: str = "documented") -> Resu
     transactions = tables.transactions.where(block_range("block_number", query.first, query.end))
     blocks = tables.blocks.where(block_range("number", query.first, query.end))
     logs = logs.where(any_log(query.logs, semantics)) if query.logs else logs.limit(0)
+    selected = any_transaction(query.transactions, semantics)
+    if not query.include_all_blocks:
+        # A parent's block is its log's, so the parents needn't be asked for theirs.
+        rows = [logs] * bool(query.logs) + [transactions.where(selected)] * bool(query.transactions)
+        blocks = parent_blocks(blocks, *rows) if rows else blocks.limit(0)
     if query.transactions and query.logs:
-        transactions = selected_or_parent(transactions, any_transaction(query.transactions, semantics), logs)
+        transactions = selected_or_parent(transactions, selected, logs)
     elif query.transactions:
-        transactions = transactions.where(any_transaction(query.transactions, semantics))
+        transactions = transactions.where(selected)
     else:
         transactions = parent_transactions(transactions, logs)
-    if not query.include_all_blocks:
-        blocks = parent_blocks(blocks, logs, transactions)
     return Result(blocks, transactions, logs)
 
 

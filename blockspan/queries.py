@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, DecimalType
 from .adapters import testdata as t
 from .functions import codec
 from .operators import endpoints, manifest, relations
-from .operators.predicates import LogSelection, TransactionSelection, any_log, any_transaction, block_range, log_matches, transaction_matches
+from .operators.predicates import LogSelection, TransactionSelection, any_log, any_transaction, block_range, log_matches, sure, transaction_matches
 from .plans.compile import matched, projected, response_rows
 from .plans.paging import page_by_size
 from .plans.query import Query, make_query
@@ -107,7 +107,7 @@ _DEEP_SQL = f"topic0 IN ({H('view')}) AND (topic3 IN ({H(*(f'view{i}' for i in r
 
 @query(f"SELECT block_number, log_index, coalesce({_DEEP_SQL.format('')}, false) AS strict, {_DEEP_SQL.format(' OR topic3 IS NULL')} AS literal FROM logs")
 def log_topics_strict_vs_literal(spark, d):
-    return t.logs(spark, d).select("block_number", "log_index", log_matches(_DEEP).alias("strict"), log_matches(_DEEP, "literal").alias("literal"))
+    return t.logs(spark, d).select("block_number", "log_index", sure(log_matches(_DEEP)).alias("strict"), sure(log_matches(_DEEP, "literal")).alias("literal"))
 
 
 _SIDES = TransactionSelection(source=tuple(t.address(i) for i in range(10)), dest=tuple(t.address(i) for i in range(10, 60)))
@@ -269,7 +269,8 @@ def hot_cold_union(spark, d):
     return shown(relations.hot_and_cold(cold, hot, "number", 1000), "number", "tier", "hash")
 
 
-@query("""SELECT max(CASE WHEN o_orderkey < 1000 THEN o_orderkey // 500 * 500 + 500 END) AS parquet_height, CAST(900 AS BIGINT) AS db_tail,
+@query("""SELECT max(CASE WHEN o_orderkey < 1000 THEN o_orderkey // 500 * 500 + 500 END) AS parquet_height,
+  min(CASE WHEN o_orderkey >= 900 THEN o_orderkey END) AS db_tail,
   max(o_orderkey) + 1 AS db_height, max(o_orderkey) + 1 AS height FROM orders""", with_tables=False)
 def archive_height(spark, d):
     b = t.blocks(spark, d)
@@ -298,17 +299,23 @@ def range_hull(spark, d):
     return manifest.hull(_folders(t.blocks(spark, d)))
 
 
-@query("SELECT CAST(1000 AS BIGINT) AS start_block", with_tables=False)
+#: Folders in their order, without the one at 1000, and whether a folder lacks its predecessor.
+RUNS_SQL = FOLDERS_SQL.format("") + """, g AS (SELECT "from", "to", lag("to") OVER (ORDER BY "from") AS before FROM f WHERE "from" <> 1000),
+r AS (SELECT *, coalesce(before <> "from", false) AS gap FROM g) """
+
+
+@query(RUNS_SQL + 'SELECT coalesce(min(before) FILTER (WHERE gap), max("to"), 0) AS start_block FROM r', with_tables=False)
 def manifest_gap_start(spark, d):
     return manifest.resume_block(_folders(t.blocks(spark, d)).where("`from` <> 1000"))
 
 
-@query(FOLDERS_SQL.format("") + 'SELECT "from", "to" FROM f WHERE "from" = 500', with_tables=False)
+@query(RUNS_SQL + """SELECT "from", "to" FROM (SELECT *, count(*) FILTER (WHERE gap) OVER (ORDER BY "from") AS n FROM r WHERE "from" >= 500)
+  WHERE n = 0 AND EXISTS (SELECT 1 FROM r WHERE "from" = 500)""", with_tables=False)
 def contiguous_run(spark, d):
     return manifest.contiguous_run(_folders(t.blocks(spark, d)).where("`from` <> 1000"), 500)
 
 
-@query('SELECT CAST(1000 AS BIGINT) AS "from", CAST(1500 AS BIGINT) AS "to" FROM (SELECT max(o_orderkey) AS m FROM orders) WHERE m >= 1500', with_tables=False)
+@query(RUNS_SQL + 'SELECT before AS "from", "from" AS "to" FROM r WHERE gap', with_tables=False)
 def manifest_gaps(spark, d):
     return manifest.gaps(_folders(t.blocks(spark, d)).where("`from` <> 1000"))
 
@@ -319,6 +326,25 @@ def dedupe_last_wins(spark, d):
     return relations.last_wins(rows, ["custkey"], "orderkey")
 
 
+_COUNTS = ", ".join(f"(SELECT count(*) FROM {n} x WHERE x.{c} >= 200 AND x.{c} <= b.number) AS {k}" for k, n, c in (("nb", "blocks", "number"), ("nt", "transactions", "block_number"), ("nl", "logs", "block_number")))
+
+
+@query(f"SELECT min(number) + 1 AS roll_end FROM (SELECT b.number, {_COUNTS} FROM blocks b WHERE b.number >= 200 AND b.number < 700) WHERE nb >= 500 OR nt >= 600 OR nl >= 600")
+def folder_roll(spark, d):
+    return relations.roll_end(t.blocks(spark, d), t.transactions(spark, d), t.logs(spark, d), 200, 500, 600)
+
+
+@query(f"SELECT {TX_LIST} FROM transactions WHERE {TX_SQL} AND block_number >= 100 AND block_number < 700")
+def archive_selected_transactions(spark, d):
+    """Written into a new archive of three folders, and read back through it."""
+    archive = _new_archive(spark)
+    blocks, txs, logs = t.blocks(spark, d), t.transactions(spark, d), t.logs(spark, d)
+    for first in (0, 300, 600):
+        archive.write_folder(first, first + 300, blocks, txs, logs)
+    tables = archive.tables(100, 700)
+    return shown(tables.transactions.where(block_range("block_number", 100, 700) & any_transaction(TXS)), *TX_COLUMNS)
+
+
 def _files(spark, d) -> DataFrame:
     """Objects of the archive: every third folder lacks its logs."""
     name = F.col("path")

@@ -13,7 +13,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 Transport = Callable[[str, object], object]
 SCHEMA = "number long, block string, receipts string"
@@ -176,23 +176,38 @@ class _Batch(DataSourceReader):
         yield from self.node.blocks(partition.first, partition.end)
 
 
-class _Follow(SimpleDataSourceStreamReader):
-    """Follows the tip: up to ``step`` blocks a trigger, and what is there near it."""
+class _Follow(DataSourceStreamReader):
+    """Follows the tip. The driver only asks for the tip and deals ranges of blocks;
+    executors fetch them.
+
+    A trigger takes up to ``step`` blocks, in ``TASKS`` ranges. The first one after a
+    restart goes up to the tip, as Spark doesn't tell a source where it is going on; its
+    ranges have no more blocks than others.
+    """
+
+    TASKS = 8
 
     def __init__(self, node: Node, first: int, end: int | None, step: int):
         self.node, self.first, self.end, self.step = node, first, end, step
+        self.at: int | None = None
 
     def initialOffset(self) -> dict:
+        self.at = self.first
         return {"block": self.first}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        first = int(start["block"])
-        tip = self.node.healthy()[1] + 1
-        end = max(first, min(x for x in (tip, self.end, first + self.step) if x is not None))
-        return iter(list(self.node.blocks(first, end))), {"block": end}
+    def latestOffset(self) -> dict:
+        limits = [self.node.healthy()[1] + 1]
+        limits += [self.end] * (self.end is not None) + [(self.at or 0) + self.step] * (self.at is not None)
+        self.at = max(min(limits), self.first, self.at or 0)
+        return {"block": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[BlockRange]:
+        first, end, size = int(start["block"]), int(end["block"]), max(1, -(-self.step // self.TASKS))
+        self.at = max(self.at or 0, end)
+        return [BlockRange(a, min(end, a + size)) for a in range(first, end, size)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.node.blocks(int(start["block"]), int(end["block"]))
+    def read(self, partition: BlockRange) -> Iterator[tuple]:
+        yield from self.node.blocks(partition.first, partition.end)
 
 
 class RpcSource(DataSource):
@@ -218,7 +233,7 @@ class RpcSource(DataSource):
         node, first, end, step = self._bounds()
         return _Batch(node, first, node.healthy()[1] + 1 if end is None else end, step)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Follow(*self._bounds())
 
 

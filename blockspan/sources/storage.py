@@ -9,6 +9,7 @@ filters serve the values that sorting can't cluster.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ TABLE_NAMES = {"block": "block", "transaction": "tx", "log": "log"}
 @dataclass(frozen=True)
 class WriteOptions:
     folder_blocks: int = 100_000
+    #: A folder also ends where it has so many transactions, or logs.
+    folder_rows: int = 1 << 62
     bucket_blocks: int = 1_000
     row_group_bytes: int = 16 << 20
     bloom_false_positives: float = 0.001
@@ -52,15 +55,15 @@ class Archive:
         fs, p = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    def _done(self, path: str) -> bool:
-        fs, p = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(p)
+    def _whole(self) -> list[str]:
+        """Names of the folders that all three tables have committed, by one listing."""
+        fs, p = self._fs(f"{self.root}/cold/*/folder=*/_SUCCESS")
+        found = Counter(s.getPath().getParent().getName().removeprefix("folder=") for s in fs.globStatus(p) or [])
+        return sorted(n for n, kinds in found.items() if kinds == len(TABLE_NAMES))
 
-    def manifest(self) -> DataFrame:
+    def manifest(self, names: list[str] | None = None) -> DataFrame:
         """Folders that all three tables have whole, one row each."""
-        kinds = TABLE_NAMES.values()
-        names = set.intersection(*({n.removeprefix("folder=") for n in self._children(f"{self.root}/cold/{k}")} for k in kinds))
-        whole = [(n, f"{self.root}/cold/*/folder={n}") for n in sorted(names) if all(self._done(f"{self.root}/cold/{k}/folder={n}") for k in kinds)]
+        whole = [(n, f"{self.root}/cold/*/folder={n}") for n in (self._whole() if names is None else names)]
         return parse_folders(self.spark.createDataFrame(whole, "name string, path string")).select("from", "to", "is_temp", "path", "name")
 
     def write_folder(self, first: int, end: int, blocks: DataFrame, transactions: DataFrame, logs: DataFrame) -> None:
@@ -75,12 +78,14 @@ class Archive:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", self.options.bloom_false_positives)
             writer.parquet(f"{self.root}/cold/{TABLE_NAMES[entity]}/folder=blk{first:09d}-{end:09d}")
 
-    def cold(self, entity: str, first: int = 0, end: int | None = None) -> DataFrame:
-        """Rows of the folders that share blocks with the range."""
-        rows = self.manifest()
-        if end is not None or first:
-            rows = overlapping(rows, first, (1 << 62) if end is None else end)
-        names = [r["name"] for r in rows.select("name").collect()]  # a name each folder
+    def _within(self, manifest: DataFrame, first: int, end: int | None) -> list[str]:
+        """Names of the folders that share blocks with the range."""
+        rows = overlapping(manifest, first, (1 << 62) if end is None else end) if end is not None or first else manifest
+        return [r["name"] for r in rows.select("name").collect()]  # a name each folder
+
+    def cold(self, entity: str, first: int = 0, end: int | None = None, names: list[str] | None = None) -> DataFrame:
+        """Rows of the folders that share blocks with the range, or of the named ones."""
+        names = self._within(self.manifest(), first, end) if names is None else names
         schema = TABLES[entity]
         if not names:
             return self.spark.createDataFrame([], schema)
@@ -118,18 +123,20 @@ class Archive:
     # -- both ------------------------------------------------------------------------
 
     def heights(self) -> dict[str, int | None]:
-        return heights(self.manifest(), self.hot("block", self.cold_height())).first().asDict()
+        manifest = self.manifest()
+        return heights(manifest, self.hot("block", self.cold_height(manifest))).first().asDict()
 
-    def cold_height(self) -> int:
-        return self.manifest().where("not is_temp").agg(F.coalesce(F.max("to"), F.lit(0))).first()[0]
+    def cold_height(self, manifest: DataFrame | None = None) -> int:
+        return (self.manifest() if manifest is None else manifest).where("not is_temp").agg(F.coalesce(F.max("to"), F.lit(0))).first()[0]
 
     def height(self) -> int:
         return self.heights()["height"]
 
     def tables(self, first: int = 0, end: int | None = None) -> Tables:
         """The three tables over both tiers, parted at the height of the cold one."""
-        at = self.cold_height()
-        frames = [hot_and_cold(self.cold(e, first, end), self.hot(e, at), NUMBER[e], at) for e in ("block", "transaction", "log")]
+        manifest = self.manifest()
+        at, names = self.cold_height(manifest), self._within(manifest, first, end)
+        frames = [hot_and_cold(self.cold(e, names=names), self.hot(e, at), NUMBER[e], at) for e in ("block", "transaction", "log")]
         return Tables(*frames)
 
     def finalise(self, first: int, end: int) -> None:

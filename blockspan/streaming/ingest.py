@@ -8,6 +8,8 @@ into a cold folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DecimalType, S
 
 from ..functions.codec import hex_to_bytes, hex_to_fixed, parse_u32, parse_u64, sighash, topics_split
 from ..operators.manifest import resume_block
-from ..operators.relations import with_status
+from ..operators.relations import roll_end, with_status
 from ..plans.compile import Tables
 from ..schema import BLOCKS, LOGS, TOPICS, TRANSACTIONS, camel
 from ..sources import legacy
@@ -89,13 +91,14 @@ def finalise_ready(archive: Archive) -> list[tuple[int, int]]:
     while True:
         h = archive.heights()
         first = h["parquet_height"]
-        if not h["db_height"] or h["db_height"] < first + step:
+        if not h["db_height"] or h["db_height"] <= first:
             return done
-        present = archive.hot("block").where((F.col("number") >= first) & (F.col("number") < first + step)).count()
-        if present < step:
+        hot = [archive.hot(e, first) for e in ("block", "transaction", "log")]
+        end = roll_end(*hot, first, step, archive.options.folder_rows).first()[0]
+        if end is None or hot[0].where((F.col("number") >= first) & (F.col("number") < end)).count() < end - first:
             return done
-        archive.finalise(first, first + step)
-        done.append((first, first + step))
+        archive.finalise(first, end)
+        done.append((first, end))
 
 
 def flush(archive: Archive) -> tuple[int, int] | None:
@@ -128,8 +131,9 @@ def import_older(spark: SparkSession, archive: Archive, root: str, version: str)
     return first
 
 
-def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: str, finalise: bool = True, metrics: Metrics | None = None, **trigger) -> StreamingQuery:
-    """Start the stream. ``trigger`` as in ``writeStream.trigger``, one pass by default."""
+def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: str, finalise: bool = True, metrics: Metrics | None = None, tip: Callable[[], int] | None = None, **trigger) -> StreamingQuery:
+    """Start the stream. ``tip`` tells the last block of the chain, for the metrics.
+    ``trigger`` as in ``writeStream.trigger``, one pass by default."""
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
@@ -142,5 +146,7 @@ def ingest(spark: SparkSession, raw: DataFrame, archive: Archive, checkpoint: st
         if metrics and (height := archive.height()):
             metrics.set("download_height", height - 1)
             metrics.set("write_height", height - 1)
+        if metrics and tip:
+            metrics.set("chain_height", tip())
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

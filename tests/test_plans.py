@@ -1,11 +1,13 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from blockspan.operators import endpoints, manifest, relations
 from blockspan.operators.predicates import LogSelection, TransactionSelection
+from blockspan.plans import paging
 from blockspan.plans.compile import matched, response_rows
 from blockspan.plans.paging import Admission, Limits, TooManyQueries, answer, page_by_size, to_json
 from blockspan.plans.query import Query, QueryError, make_query, parse_query
@@ -95,8 +97,8 @@ def test_pages_make_up_the_answer(spark):
     assert json.loads(to_json(whole))["data"][0] == [json.loads(e) for e in entries]
     assert answer(t, Query(12, None, q.logs), 12)["data"] == [] and answer(t, Query(12, None, q.logs), 12)["nextBlock"] == 12
     assert answer(t, Query(3, None, q.logs), 0)["archiveHeight"] is None
-    ticks = iter(range(0, 1000, 4))
-    late = answer(t, q, 12, Limits(max_ms=5000, batch_blocks=3), clock=lambda: next(ticks))
+    ticks = iter(range(0, 10_000, 40))
+    late = answer(t, q, 12, Limits(max_ms=60_000, batch_blocks=3), clock=lambda: next(ticks))
     assert late["nextBlock"] == 6  # a batch that was read is kept, and the next page goes on behind it
 
 
@@ -154,3 +156,24 @@ def test_endpoints(spark):
     assert sorted(map(tuple, endpoints.healthy(e).collect())) == [("a", 100, 97), ("b", 97, 97)] and endpoints.healthy(e.limit(0)).count() == 0
     t = spark.createDataFrame([(100, 50), (3, 0)], "n_blocks long, millis long")
     assert [r.blocks_per_second for r in endpoints.throughput(t).collect()] == [2000.0, None]
+
+
+def test_a_late_batch_is_cancelled(spark, monkeypatch):
+    t = tables(spark, chain())
+    q = parse_query('{"fromBlock": 0, "includeAllBlocks": true, "logs": [{"address": [], "topics": [], "fieldSelection": {"block": {"number": true}}}]}')
+    whole = answer(t, q, 12)
+    calls, plain = [], paging.response_rows
+
+    def slow(tables, part, semantics):
+        calls.append((part.first, part.end))
+        rows = plain(tables, part, semantics)
+        if part.end - part.first < 10:
+            return rows
+        wait = F.udf(lambda x: time.sleep(30) or x)
+        return rows.withColumn("entry", wait("entry"))
+
+    monkeypatch.setattr(paging, "response_rows", slow)
+    began = time.monotonic()
+    page = answer(t, q, 12, Limits(max_ms=1500, batch_blocks=12))
+    assert time.monotonic() - began < 25 and calls[:2] == [(0, 12), (0, 1)] and page["nextBlock"] == 1
+    assert page["data"][0] == whole["data"][0][:1]

@@ -13,6 +13,7 @@ from blockspan.server import Forwarder, Service, archive_routes, forwarder_route
 from blockspan.sources import legacy, rpc
 from blockspan.sources.storage import Archive, WriteOptions
 from blockspan.operators.manifest import FILES
+from blockspan.operators.predicates import LogSelection, TransactionSelection, any_log, any_transaction
 from blockspan.streaming.ingest import decode, finalise_ready, flush, import_older, ingest, start_block, write_hot
 from blockspan.streaming.metrics import IngestListener, Metrics
 
@@ -87,7 +88,7 @@ def test_ingest_to_hot_and_cold(spark, tmp_path):
     archive = Archive(spark, f"file://{tmp_path}/archive", WriteOptions(folder_blocks=6))
     assert archive.height() == 0 and start_block(archive) == 0 and start_block(archive, 100, 30) == 70
     raw = spark.readStream.format("blockrpc").option("startingBlock", 0).option("blocksPerBatch", 14).load()
-    q = ingest(spark, raw, archive, f"{tmp_path}/checkpoint", metrics=(metrics := Metrics()), processingTime="0 seconds")
+    q = ingest(spark, raw, archive, f"{tmp_path}/checkpoint", metrics=(metrics := Metrics()), tip=lambda: fake.TIP, processingTime="0 seconds")
     try:
         q.processAllAvailable()
         assert q.exception() is None
@@ -95,7 +96,7 @@ def test_ingest_to_hot_and_cold(spark, tmp_path):
         q.stop()
     height = fake.TIP - 3
     h = archive.heights()
-    assert f"write_height {height - 1}" in metrics.encode()
+    assert f"write_height {height - 1}" in metrics.encode() and f"chain_height {fake.TIP}" in metrics.encode()
     assert h["height"] == height and h["parquet_height"] == 18
     t = archive.tables()
     numbers = sorted(r.number for r in t.blocks.select("number").collect())
@@ -126,6 +127,28 @@ def test_ingest_to_hot_and_cold(spark, tmp_path):
         server.shutdown()
 
 
+def test_follow_deals_ranges(spark):
+    follow = rpc._Follow(NODE, 2, None, 16)
+    assert follow.initialOffset() == {"block": 2} and follow.latestOffset() == {"block": 18}
+    parts = follow.partitions({"block": 2}, {"block": 18})
+    assert [(p.first, p.end) for p in parts] == [(a, a + 2) for a in range(2, 18, 2)] and [r[0] for r in follow.read(parts[1])] == [4, 5]
+    assert follow.latestOffset() == {"block": fake.TIP - 3} == follow.latestOffset()
+    again = rpc._Follow(NODE, 2, 20, 16)  # after a restart
+    assert again.latestOffset() == {"block": 20} and again.partitions({"block": 20}, {"block": 20}) == []
+
+
+def test_folders_end_where_rows_are_many(spark, tmp_path):
+    t = tables(spark, chain())
+    archive = Archive(spark, f"file://{tmp_path}/rolled", WriteOptions(folder_blocks=8, folder_rows=20))
+    write_hot(archive, t)
+    done = finalise_ready(archive)
+    assert len(done) > 1 and done[0][0] == 0 and all(a[1] == b[0] for a, b in zip(done, done[1:], strict=False))
+    sizes = {r.block_number: r["count"] for r in t.transactions.groupBy("block_number").count().collect()}
+    for first, end in done:
+        assert end - first == 8 or sum(sizes.get(n, 0) for n in range(first, end - 1)) < 20
+    assert archive.tables().transactions.count() == t.transactions.count()
+
+
 def test_folders_prune_and_carry_blooms(spark, tmp_path):
     archive = Archive(spark, str(tmp_path))
     t = tables(spark, chain())
@@ -135,6 +158,14 @@ def test_folders_prune_and_carry_blooms(spark, tmp_path):
     assert archive.tables().transactions.count() == t.transactions.count() and archive.height() == 12
     plan = archive.cold("log").where(F.col("address") == b"x" * 20)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(address), EqualTo(address" in plan
+    a, topic = (b"a" * 20, b"b" * 20), (b"t" * 32, b"u" * 32)
+    scan = lambda df: [x for x in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n") if "PushedFilters" in x]
+    logs = scan(archive.tables().logs.where(any_log([LogSelection(a, (topic,)), LogSelection(a[:1])])))
+    assert len(logs) == 1, logs
+    assert all(x in logs[0] for x in ("In(address, ", "In(topic0, ", "EqualTo(address,["))
+    txs = scan(archive.tables().transactions.where(any_transaction([TransactionSelection(source=a, dest=a[:1]), TransactionSelection(sighash=(b"1234",))])))
+    assert len(txs) == 1, txs
+    assert all(x in txs[0] for x in ("In(source, ", "EqualTo(dest,[", "EqualTo(sighash,["))
     (tmp_path / "cold/tx/folder=blk000000004-000000012/_SUCCESS").unlink()
     assert archive.manifest().count() == 1  # a folder of which a table isn't whole doesn't count
 
