@@ -3,8 +3,8 @@
 Templates become words; hashes of ``k`` words in a row are winnowed (of each ``window``
 hashes the least is kept) into an inverted index from hash to templates and places. It is
 as large as the templates are and goes to every task. A document that has too few of a
-template's words for the coverage, wherever they stand, is done with it. Else its hashes
-are looked up; hits that lie on diagonals near each other, within a template's length, make
+template's words for the coverage, wherever they stand, is done with it. Else all of its
+hashes are looked up; hits that lie on diagonals near each other, within a template's length, make
 a candidate region. A banded alignment of the region's words with the template's words
 reports what part of the template is there and where in the text.
 
@@ -135,6 +135,8 @@ class Index:
             for at in winnow(h, self.window) if len(h) > 2 * self.window else range(len(h)):
                 self.places.setdefault(int(h[at]), []).append((t, int(at)))
         self.known = np.array(sorted(self.places), U)
+        if not self.words:
+            return
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.weights = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words])
         self.sizes = np.array([len(w) for w in self.words])
@@ -197,6 +199,8 @@ def scan(text: str, index: Index, coverage: float) -> list[tuple[str, float, int
     """Template, coverage and span (in characters) of each find."""
     words = Words(text)
     w = words.ids
+    if not index.words:
+        return []
     possible = index.possible(w, coverage)
     if not len(possible):
         return []
@@ -262,9 +266,11 @@ def license_scan(
     the one asked for; the span is in characters, its end exclusive. Case and punctuation
     make no difference. Finds are numbered in the order of the text; the same license found
     twice has two rows, templates that overlap are all reported. Null and empty texts have
-    no rows, null ids stay null, repeated rows are each scanned, other columns are not read.
+    no rows, null ids stay null, repeated rows are each scanned, other columns (of whatever
+    name) are not read, an empty table gives an empty one. ``templates`` stand in for the
+    fixed ones; none at all find nothing; one of fewer than ``k`` words is a ValueError.
     """
-    index = Index(templates or TEMPLATES, k, window, coverage)
+    index = Index(TEMPLATES if templates is None else templates, k, window, coverage)
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, nth int, license string, coverage double, span_start long, span_end long"

@@ -1,3 +1,5 @@
+import pytest
+import re
 import random
 
 import numpy as np
@@ -75,3 +77,47 @@ def test_headers_are_found():
     gnu = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     text = f"This program is free software: you can redistribute it and/or modify it {gnu} " + TEMPLATES["GPL-3.0-header"].split("later version. ")[1]
     assert ("GPL-3.0-header", 1.0) in [f[:2] for f in scan(text, index, 0.8)]
+
+
+def whole_scan(text, template):
+    """Words of a template that a text has in order: a table over the whole text."""
+    a, b = (re.findall(r"[0-9a-z\x80-\U0010ffff]+", x.lower()) for x in (text, template))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(row[j], new[-1], row[j - 1] + 1 if x == y else 0))
+        row = new
+    return row[-1] / len(b)
+
+
+def test_finds_are_brute_force(spark):
+    r = random.Random(12)
+    names, vocabulary = list(TEMPLATES), [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        words = TEMPLATES[r.choice(names)].split()
+        for _ in range(r.randint(0, len(words) // 4)):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        around = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) for _ in "ab"]
+        rows.append((i, f"{around[0]} {' '.join(words)} {around[1]}", i, "x", 1.0, i))
+    clash = spark.createDataFrame(rows, "doc_id long, text string, nth int, license string, coverage double, span_start int")
+    got = {}
+    for x in license_scan(clash).collect():
+        got[x.doc_id, x.license] = max(x.coverage, got.get((x.doc_id, x.license), 0))
+    whole, near = {}, {}
+    for i, text, *_ in rows:
+        words = text.split()
+        for name, t in TEMPLATES.items():
+            if (c := whole_scan(text, t)) >= 0.8:
+                # Anywhere in the text is too much (a notice's words, strewn over a header);
+                # as many words in a row as the template has are what must be found.
+                n = len(t.split())
+                whole[i, name] = c
+                near[i, name] = max(whole_scan(" ".join(words[k : k + n]), t) for k in range(max(1, len(words) - n + 1)))
+    must = {k: c for k, c in near.items() if c >= 0.8}
+    assert must.keys() <= got.keys() <= whole.keys() and len(must) > 30
+    assert all(must.get(k, 0) - 1e-9 <= c <= whole[k] + 1e-9 for k, c in got.items())
+    assert license_scan(clash, templates={}).count() == 0 and license_scan(clash.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="fewer than 3 words"):
+        license_scan(clash, templates={"a": "two words"})

@@ -62,3 +62,21 @@ def test_sample_is_bounded(spark):
     rows = spark.createDataFrame([(f"{good() if i % 4 else bad()}", int(i % 4 > 0)) for i in range(400)], "text string, label int")
     a, b = fit(rows, max_rows=200), fit(rows.repartition(7), max_rows=200)
     assert np.allclose(a.mean, b.mean) and a.knots[1].max() > 0.5
+
+
+def test_partition_sums_are_one_solve(spark):
+    """Mean, scale and weights of the fit against one least-squares solve over all rows."""
+    rows = [(good() if i % 3 else bad(), int(i % 3 > 0)) for i in range(300)]
+    rows += rows[:20]  # repeated rows count each
+    df = spark.createDataFrame(rows, "text string, label int").repartition(5)
+    model = fit(df, features=40)
+    h = {r.text: r.fold for r in df.selectExpr("text", "pmod(shiftright(xxhash64(text, 7), 24), 4) as fold").collect()}
+    stats, label = np.array([statistics(t) for t, _ in rows]), np.array([y for _, y in rows], float)
+    fold = np.array([h[t] for t, _ in rows])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.where(stats.std(0) > 1e-9, stats.std(0), 1), rtol=1e-4, atol=1e-6)
+    z, y, rate = model.features(stats[fold != 0]), label[fold != 0], label.mean()
+    w = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
+    root = np.sqrt(w)[:, None]
+    damp = np.sqrt(1e-5 * w.sum()) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.r_[z * root, damp], np.r_[y * root[:, 0], np.zeros(len(damp))], rcond=None)[0]
+    assert np.allclose(z @ model.ridge, z @ weights, atol=1e-3)
