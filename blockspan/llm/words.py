@@ -41,12 +41,13 @@ class Encoder:
     """Ids of whole texts, without added special tokens.
 
     ``max_memory`` bounds the number of remembered pretokens; beyond it the memory starts
-    anew, which costs time and changes nothing else.
+    anew, with the one before beside it, from which words that come again are taken over.
+    What both have forgotten is encoded again, which costs time and changes nothing else.
     """
 
     _open: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, max_memory: int = 350_000, max_word: int = 64):
+    def __init__(self, path: str, max_memory: int = 500_000, max_word: int = 64):
         from tokenizers import Tokenizer
 
         single_threaded_tokenizers()
@@ -64,6 +65,7 @@ class Encoder:
         )
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.max_memory, self.max_word = max_memory, max_word
 
     @classmethod
@@ -89,8 +91,12 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Remember the ids of all these pretokens."""
         if len(self.memory) > self.max_memory:
-            self.memory.clear()
+            self.former, self.memory = self.memory, {}
         words = words.difference(self.memory)
+        if self.former:
+            known = words.intersection(self.former)
+            self.memory.update(zip(known, map(self.former.__getitem__, known), strict=True))
+            words -= known
         joined, alone = [], []
         for w in words:
             (joined if _WORD.fullmatch(w) else alone).append(w)
