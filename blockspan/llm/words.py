@@ -64,6 +64,10 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        # Tokens that begin with a space, as byte-level vocabularies write it.
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.memory: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
         self.max_memory, self.max_word = max_memory, max_word
@@ -88,8 +92,8 @@ class Encoder:
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of all these pretokens."""
+    def learn(self, words: set[str]) -> set[str]:
+        """Remember the ids of all these pretokens; those that neither memory had."""
         if len(self.memory) > self.max_memory:
             self.former, self.memory = self.memory, {}
         words = words.difference(self.memory)
@@ -99,19 +103,24 @@ class Encoder:
             words -= known
         joined, alone = [], []
         for w in words:
-            (joined if _WORD.fullmatch(w) else alone).append(w)
-        for i in range(0, len(joined), 400):
-            # Words that begin with their only space: side by side they split as they are.
-            part = joined[i : i + 400]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            ids, at = np.array(e.ids, self.dtype), np.array(e.word_ids)
-            ends = np.searchsorted(at, np.arange(len(part)), side="right").tolist()
-            begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self.memory[w] = ids[begin:end].tobytes()
-                begin = end
-        for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            (joined if self.plain and _WORD.fullmatch(w) else alone).append(w)
+        parts = [joined[i : i + 400] for i in range(0, len(joined), 400)]
+        # Words that begin with their only space: side by side they split as they are, and
+        # a token that opens with a space begins the next.
+        for part, e in zip(parts, self._encoded(["".join(p) for p in parts]), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = [*(np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist(), ids.nbytes]
+            if len(ends) != len(part) + 1:
+                alone += part
+                continue
+            raw = ids.tobytes()
+            self.memory.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
+        for w, e in zip(alone, self._encoded(alone), strict=True):
             self.memory[w] = self._bytes(e.ids)
+        return words
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         """Ids of safe texts, some at a time."""
@@ -119,11 +128,10 @@ class Encoder:
         return [b"".join(x) for x in self._words(split)]
 
     def _words(self, split: list[list[str]]) -> list[list[bytes]]:
-        needed = set().union(*split)
-        self.learn(needed)
+        new = self.learn(set().union(*split))
         get = self.memory.__getitem__
         out = [list(map(get, w)) for w in split]
-        for w in needed:
+        for w in new:
             if len(w) > self.max_word:
                 del self.memory[w]
         return out
